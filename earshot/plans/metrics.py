@@ -22,7 +22,7 @@ def turn_flags(segments: DataFrame, keys: Sequence[str], first: Sequence[str] =
     """
     a, b = F.col("speaker_type").isin(*first), F.col("speaker_type").isin(*second)
     takes_part = F.coalesce(a | b, F.lit(False))
-    w = Window.partitionBy(*keys, takes_part).orderBy(*(order or (["row_no"] if "row_no" in segments.columns else list(SEGMENT))))
+    w = Window.partitionBy(*keys, takes_part).orderBy(*(order or (["row_no", SEGMENT[0]] if "row_no" in segments.columns else list(SEGMENT))))
     before = lambda c: F.lag(c).over(w)
     partner = (a & before("speaker_type").isin(*second)) | (b & before("speaker_type").isin(*first))
     flag = takes_part & partner & (F.col("segment_onset") - before("segment_offset") < max_interval) & (F.col("segment_onset") - before("segment_onset") >= min_delay)

@@ -353,7 +353,7 @@ SIX = 6 * HOUR
 
 def _turn_sql(part: str, gap: int = SIX) -> str:
     return f"""(SELECT *, (speaker_type = 'CHI') != (lag(speaker_type) OVER w = 'CHI') AND segment_onset - lag(segment_offset) OVER w < {gap} AND segment_onset - lag(segment_onset) OVER w >= 0 AS turn
-  FROM cut WHERE speaker_type IN ('CHI', 'FEM', 'MAL', 'OCH') WINDOW w AS (PARTITION BY {part}recording_filename ORDER BY row_no))"""
+  FROM cut WHERE speaker_type IN ('CHI', 'FEM', 'MAL', 'OCH') WINDOW w AS (PARTITION BY {part}recording_filename ORDER BY row_no, segment_onset))"""
 
 
 @query(_metric_sql("child_id", {"x": "count(*)"}).split(", agg AS")[0] + f", agg AS (SELECT child_id, count(*) FILTER (turn) AS n FROM {_turn_sql('')} GROUP BY child_id) SELECT child_id, d AS duration_a, coalesce(n, 0) AS \"simple_CTC\", round(coalesce(n, 0) * 3600000.0 / d, 6) AS \"simple_CTC_ph\" FROM dur LEFT JOIN agg USING (child_id)")

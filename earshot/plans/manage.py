@@ -194,4 +194,4 @@ def anonymise(lines: DataFrame, replacements: dict[tuple[str, str], str], column
 def printable(column: str, unit: str) -> Column:
     """A duration as text in ms, s, m or h, with one decimal but for ms."""
     size = {"ms": 1, "s": 1000, "m": 60_000, "h": 3_600_000}[unit]
-    return F.concat(F.col(column).cast("string") if unit == "ms" else F.format_number(F.col(column) / size, "0.0"), F.lit(f" {unit}"))
+    return F.concat(F.col(column).cast("string") if unit == "ms" else F.format_string("%.1f", F.col(column) / size), F.lit(f" {unit}"))

@@ -16,7 +16,9 @@ from earshot.llm.textkit import EXACT, FOLDED, NOT_WORD, SPACES, U64, buffers, c
 #: log2 of the number of weights, and the bound of the training sample (rows).
 BITS, SAMPLE = 18, 8000
 #: The least probability of the top grade for selection.
-MIN_TAIL = 0.4
+MIN_TAIL = 0.3
+#: Bytes of a word's beginning that are a feature of their own, so that inflected forms share a weight.
+STEM = 4
 
 
 @dataclass(frozen=True)
@@ -28,16 +30,20 @@ class OrdinalModel:
     cuts: np.ndarray
 
 
+_LOWER = np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), np.arange(256) + 32, np.arange(256)).astype(U64)
+
+
 def features(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each chunk of rows, the distinct hashed features of each row, one after another, and where each row's begin (n + 1).
 
-    Features are the presence of each word (letters and digits, lower case), of each way that white-space parted tokens end
-    (their last two bytes where these aren't both letters or digits), and of each first byte of a token. They cover the whole text.
+    Features are the presence of each word (letters and digits, lower case) and of its first bytes, of each way that white-space
+    parted tokens end (their last two bytes where these aren't both letters or digits), and of each first byte of a token. They
+    cover the whole text.
     """
     data, at = buffers(column)
     for i, j in chunks(at):
         part = at[i : j + 1]
-        w, _, _, words = tokens(data, part, NOT_WORD, FOLDED)
+        w, begin, end, words = tokens(data, part, NOT_WORD, FOLDED)
         _, starts, ends, ends_at = tokens(data, part, SPACES, EXACT)
         word_row = np.repeat(np.arange(j - i), np.diff(words))
         token_row = np.repeat(np.arange(j - i), np.diff(ends_at))
@@ -46,8 +52,11 @@ def features(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         odd = NOT_WORD[last]
         shape = mix(last[odd].astype(U64) << U64(8) | before[odd] | U64(1 << 20)) >> U64(64 - BITS)
         head = mix(data[starts].astype(U64) // U64(32) | U64(1 << 21)) >> U64(64 - BITS) if len(starts) else np.zeros(0, U64)
-        row = np.concatenate([word_row, token_row[odd], token_row]).astype(U64)
-        key = np.concatenate([w >> U64(64 - BITS), shape, head])
+        stem = np.full(len(w), STEM << 56, U64)
+        for k in range(STEM if len(w) else 0):
+            stem |= np.where(begin + k < end, _LOWER[data[np.minimum(begin + k, len(data) - 1)]], U64(0)) << U64(8 * k)
+        row = np.concatenate([word_row, word_row, token_row[odd], token_row]).astype(U64)
+        key = np.concatenate([w >> U64(64 - BITS), mix(stem) >> U64(64 - BITS), shape, head])
         both = np.unique(row << U64(BITS) | key)
         yield (both & U64((1 << BITS) - 1)).astype(np.int64), np.searchsorted(both >> U64(BITS), np.arange(j - i + 1, dtype=U64))
 
@@ -61,7 +70,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def train(texts: pa.Array, grades: np.ndarray, rounds: int = 100, penalty: float = 1e-3, rate: float = 0.15, min_share: float = 4e-3) -> OrdinalModel:
+def train(texts: pa.Array, grades: np.ndarray, rounds: int = 150, penalty: float = 3e-4, rate: float = 0.15, min_share: float = 2e-3) -> OrdinalModel:
     """Maximum likelihood with an L2 penalty by full-batch adaptive gradient steps (Adam); cuts are kept in order by logs of their gaps.
 
     Features in fewer than ``min_share`` of the rated texts get no weight: they would learn single texts by heart.

@@ -12,7 +12,7 @@ def shared_folder(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if (have := sc.getCheckpointDir()) is not None:
         return have
-    folder = sc.getConf().get("spark.checkpoint.dir")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
         if not sc.master.startswith("local[") and sc.master != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
@@ -25,3 +25,9 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it from there."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this program has written, on whatever file system it is."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

@@ -84,11 +84,11 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "d
 
     shape = T.StructType([T.StructField("id", kind), T.StructField("at", T.IntegerType()), T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType())])
     runs = source.mapInArrow(candidates, shape)
-    # Places are first joined to lists within each task and then for each run, so hot passages are no hot keys: a list
-    # holds a place for each copy, and is split again at once.
-    known = runs.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("id").alias("first"), F.collect_list(F.struct("id", "at")).alias("places")).where("n > 1")
+    # A window over each run's places spills where a passage has more places than memory holds; no row holds them all.
+    alike = Window.partitionBy("h1", "h2")
+    known = runs.withColumns({"n": F.count("*").over(alike), "first": F.min("id").over(alike)}).where("n > 1")
     # The shuffle by id serves both the grouping of repeated rows and the window.
-    places = known.select("n", "first", F.explode("places").alias("p")).select(F.col("p.id").alias("id"), F.col("p.at").alias("at"), "n", "first").repartition("id").groupBy("id", "at").agg(F.max("n").alias("n"), F.min("first").alias("first"))
+    places = known.select("id", "at", "n", "first").repartition("id").groupBy("id", "at").agg(F.max("n").alias("n"), F.min("first").alias("first"))
     order = Window.partitionBy("id").orderBy("at")
     # Runs one word apart belong together; runs that only touch or overlap by less are repeats of different passages, which
     # may not be read as one, yet cover their words: a span ends only where the next run doesn't follow at once.

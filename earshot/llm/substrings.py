@@ -15,6 +15,7 @@ from earshot.llm.textkit import SPACES, U64, buffers, chunks, rolling, signed, t
 
 HASHES = 4
 MIN_WORDS = 50
+AT_ONCE = 1 << 16  # runs that a task holds before it hands them on
 
 
 def _rows(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
@@ -61,7 +62,12 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "d
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have = shared.value
         for batch in batches:
-            whose, where, one, two = [], [], [], []
+            found: list[tuple[np.ndarray, ...]] = []
+
+            def rows(found: list, ids: pa.Array = batch.column(0)) -> pa.RecordBatch:
+                whose, where, one, two = (np.concatenate(x) for x in zip(*found))
+                return pa.RecordBatch.from_arrays([ids.take(pa.array(whose)), pa.array(where.astype(np.int32)), pa.array(signed(one)), pa.array(signed(two))], names=["id", "at", "h1", "h2"])
+
             for r, h in _rows(batch.column(1)):
                 n = len(h) - min_words + 1
                 if n <= 0:
@@ -75,12 +81,12 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "d
                 count = np.concatenate([[0], np.cumsum(hit)])
                 near = np.flatnonzero(count[min_words - block + 1 :][:n] > count[:n])
                 if len(near):
-                    whose.append(np.full(len(near), r))
-                    where.append(near)
-                    one.append(rolling(h, min_words, 1)[near])
-                    two.append(rolling(h, min_words, 2)[near])
-            if whose:
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.concatenate(whose))), pa.array(np.concatenate(where).astype(np.int32)), pa.array(signed(np.concatenate(one))), pa.array(signed(np.concatenate(two)))], names=["id", "at", "h1", "h2"])
+                    found.append((np.full(len(near), r), near, rolling(h, min_words, 1)[near], rolling(h, min_words, 2)[near]))
+                if sum(len(f[0]) for f in found[-64:]) > AT_ONCE or len(found) >= 64:
+                    yield rows(found)
+                    found = []
+            if found:
+                yield rows(found)
 
     shape = T.StructType([T.StructField("id", kind), T.StructField("at", T.IntegerType()), T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType())])
     runs = source.mapInArrow(candidates, shape)

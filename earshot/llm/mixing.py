@@ -17,6 +17,8 @@ from earshot.storage import cut
 #: Production weights: the share of a source is in proportion to its size to this power, and the mix has as many documents as came in.
 TEMPERATURE = 0.7
 LEAF_ROWS, FAN_IN_BITS = 4096, 6
+#: Up to so many sources their table is sent to all workers; beyond, it is joined as it comes.
+BROADCAST_SOURCES = 100_000
 WHOLE = 1e-9
 
 
@@ -54,15 +56,24 @@ def pivotal(p: np.ndarray, key: np.ndarray, seed: int) -> tuple[np.ndarray, int]
     return np.array(p, np.float64), open_
 
 
-def targets(counts: Mapping[str | None, int], weights: Mapping[str | None, float] | None, total: float | None, temperature: float = TEMPERATURE) -> dict[str | None, float]:
-    """The expected copies of a document of each source."""
-    if weights is None:
-        weights = {s: n**temperature for s, n in counts.items()}
-    if any(not math.isfinite(w) or w < 0 for w in weights.values()):
+def expectations(docs: DataFrame, weights: Mapping[str | None, float] | None, total: float | None, temperature: float, source_col: str) -> tuple[DataFrame, int, int]:
+    """A row for each source with the expected copies of each of its documents; the number of sources and of the largest one's documents.
+
+    The table stays distributed; one row of sums comes to the driver. Weights are summed as decimals, so no order matters.
+    """
+    if weights is not None and any(not math.isfinite(w) or w < 0 for w in weights.values()):
         raise ValueError("weights are finite and not negative")
-    all_of = sum(weights.get(s, 0.0) for s in counts)
-    total = float(sum(counts.values()) if total is None else total)
-    return {s: (total * weights.get(s, 0.0) / all_of / n if all_of > 0 else 0.0) for s, n in counts.items()}
+    counts = cut(docs.groupBy(F.col(source_col).alias("s")).agg(F.count("*").alias("n")))
+    if weights is None:
+        weighted = counts.withColumn("w", F.pow(F.col("n").cast("double"), F.lit(float(temperature))))
+    else:
+        shape = T.StructType([T.StructField("given", docs.schema[source_col].dataType), T.StructField("w", T.DoubleType())])
+        table = docs.sparkSession.createDataFrame([(s, float(w)) for s, w in weights.items()], shape)
+        weighted = counts.join(table, F.expr("s <=> given"), "left").select("s", "n", F.coalesce("w", F.lit(0.0)).alias("w"))
+    sums = weighted.agg(F.count("*"), F.max("n"), F.sum("n"), F.sum(F.col("w").cast("decimal(38,9)")).cast("double")).first()
+    sources, largest, n, all_of = sums[0], sums[1] or 0, float(sums[2] or 0), sums[3] or 0.0
+    each = F.lit(n if total is None else float(total)) * F.col("w") / F.lit(all_of or 1.0) / F.col("n")
+    return weighted.select("s", (each if all_of > 0 else F.lit(0.0)).alias("expected")), sources, largest
 
 
 def copies(docs: DataFrame, weights: Mapping[str | None, float] | None = None, total: float | None = None, *, temperature: float = TEMPERATURE, seed: int = 0, id_col: str = "doc_id", source_col: str = "source", leaf_rows: int = LEAF_ROWS) -> DataFrame:
@@ -82,16 +93,13 @@ def copies(docs: DataFrame, weights: Mapping[str | None, float] | None = None, t
     their own. A source without weight gets no copies; with no weight at all no document does. Negative or non-finite
     weights raise ValueError. Other columns are left out. An empty input gives an empty result.
     """
-    counts = {r["s"]: r["n"] for r in docs.groupBy(F.col(source_col).alias("s")).agg(F.count("*").alias("n")).collect()}
-    expected = targets(counts, weights, total, temperature)
-    depth = max(0, math.ceil(math.log2(max([1, *counts.values()]) / leaf_rows)))
+    table, sources, largest = expectations(docs, weights, total, temperature, source_col)
+    depth = max(0, math.ceil(math.log2(max(1, largest) / leaf_rows)))
     base = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source")).groupBy("id", "source").count()
     rows = base.select("id", "source", F.explode(F.expr("sequence(0, cast(count - 1 as int))")).alias("ordinal")).withColumn("key", F.xxhash64("source", "id", "ordinal"))
-    sources = sorted(expected, key=lambda s: (s is None, str(s)))
-    shape = T.StructType([T.StructField("s", docs.schema[source_col].dataType), T.StructField("code", T.IntegerType()), T.StructField("expected", T.DoubleType())])
-    table = docs.sparkSession.createDataFrame([(s, i, float(expected[s])) for i, s in enumerate(sources)], shape)
+    table = F.broadcast(table) if sources <= BROADCAST_SOURCES else table
     leaf = F.shiftrightunsigned("key", 64 - depth) if depth else F.lit(0).cast("bigint")
-    shaped = rows.join(F.broadcast(table), F.expr("source <=> s")).select("id", "source", "ordinal", "key", "code", "expected", leaf.alias("leaf"), (F.col("expected") % 1.0).alias("p"))
+    shaped = rows.join(table, F.expr("source <=> s")).select("id", "source", "ordinal", "key", "expected", leaf.alias("leaf"), (F.col("expected") % 1.0).alias("p"))
 
     def pair(level: int):
         def group(batch: pd.DataFrame) -> pd.DataFrame:
@@ -102,21 +110,21 @@ def copies(docs: DataFrame, weights: Mapping[str | None, float] | None = None, t
         return group
 
     with_open = lambda df: T.StructType([*df.schema.fields, T.StructField("open", T.BooleanType())])
-    leaves = cut(shaped.groupBy("code", "leaf").applyInPandas(pair(0), with_open(shaped)))
-    level, settled, n = leaves.where("open").select("code", "leaf", "key", "p"), None, 0
+    leaves = cut(shaped.groupBy("source", "leaf").applyInPandas(pair(0), with_open(shaped)))
+    level, settled, n = leaves.where("open").select("source", "leaf", "key", "p"), None, 0
     while depth > 0:
         depth, n = max(0, depth - FAN_IN_BITS), n + 1
         upper = level.withColumn("leaf", F.shiftright("leaf", FAN_IN_BITS) if depth else F.lit(0).cast("bigint"))
-        up = cut(upper.groupBy("code", "leaf").applyInPandas(pair(n), with_open(upper)))
-        done = up.where("not open").select("code", "key", "p")
+        up = cut(upper.groupBy("source", "leaf").applyInPandas(pair(n), with_open(upper)))
+        done = up.where("not open").select("source", "key", "p")
         settled = done if settled is None else settled.union(done)
-        level = up.where("open").select("code", "leaf", "key", "p")
+        level = up.where("open").select("source", "leaf", "key", "p")
     # one remainder a source is left: it is drawn by its own probability
-    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "code", "key"), 11).cast("double") + 0.5) / float(1 << 53)
-    last = level.select("code", "key", F.when(u < F.col("p"), 1.0).otherwise(0.0).alias("p"))
-    settled = (last if settled is None else settled.union(last)).withColumnRenamed("p", "late")
+    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "source", "key"), 11).cast("double") + 0.5) / float(1 << 53)
+    last = level.select("source", "key", F.when(u < F.col("p"), 1.0).otherwise(0.0).alias("p"))
+    settled = (last if settled is None else settled.union(last)).select(F.col("source").alias("_source"), F.col("key").alias("_key"), F.col("p").alias("late"))
     given = F.floor("expected") + F.when(F.col("open"), F.col("late")).otherwise(F.col("p")).cast("bigint")
-    return leaves.join(settled, ["code", "key"], "left").select(F.col("id").alias(id_col), F.col("source").alias(source_col), "ordinal", "expected", given.cast("bigint").alias("copies"))
+    return leaves.join(settled, F.expr("key = _key and source <=> _source"), "left").select(F.col("id").alias(id_col), F.col("source").alias(source_col), "ordinal", "expected", given.cast("bigint").alias("copies"))
 
 
 def mix_sources(docs: DataFrame, weights: Mapping[str | None, float] | None = None, total: float | None = None, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:

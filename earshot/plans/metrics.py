@@ -49,6 +49,7 @@ def extract(segments: DataFrame, index: DataFrame, recordings: DataFrame, metric
         raise ValueError("from_time goes with to_time, and units with by='segments'")
     asked = resolve(metrics)
     sets = sorted({w.set for w in asked})
+    segments = segments.where(F.col("set").isin(*sets))  # prunes the scan by set
     clocked = period_ms is not None or from_time is not None
     unit = [REC, "unit_onset", "unit_offset"] if by == "segments" else [by]
     rec = recordings.select(*dict.fromkeys([REC, *([by] if by != "segments" else []), *(["start_time"] if clocked else [])]))

@@ -17,16 +17,20 @@ _LOW = {p: sum(1 << b for q, b in WIDTHS.items() if q < p) for p in WIDTHS}
 N_FEATURES = sum(1 << b for b in WIDTHS.values())
 _SPREAD = np.uint32(2654435761)
 
-#: Production parameters; PER_CLASS bounds the training sample.
+#: Production parameters; PER_CLASS bounds the training sample. MIN_SCORE and MIN_MARGIN are the floor of the thresholds that are set from held-out rows.
 PER_CLASS, LANDMARKS, RIDGE, MIN_SCORE, MIN_MARGIN = 200, 64, 1e-3, -0.9, 0.01
+#: Held-out rows come from FOLDS folds; SHARE of their quantile LOW counts; with fewer than LEAST_HELD_OUT of them the floor stays.
+FOLDS, LOW, SHARE, LEAST_HELD_OUT = 4, 0.05, 0.25, 20
 
 
 @dataclass(frozen=True)
 class LanguageModel:
-    """``table`` has for each feature the sum of its landmarks' dual weights, a column for each class."""
+    """``table`` has for each feature the sum of its landmarks' dual weights, a column for each class; a text with less than the thresholds is in none of them."""
 
     classes: tuple[str, ...]
     table: np.ndarray
+    min_score: float = MIN_SCORE
+    min_margin: float = MIN_MARGIN
 
 
 def spectrum(text: str, flags: np.ndarray) -> np.ndarray:
@@ -57,27 +61,56 @@ def _kernel(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
     return np.stack([dense[x].sum(axis=0) / np.sqrt(max(1, len(x))) for x in xs]) if xs else np.zeros((0, len(ys)), np.float32)
 
 
-def train(rows: list[tuple[str, str]], landmarks: int = 64, ridge: float = 1e-3) -> LanguageModel:
-    """Kernel ridge regression on targets -1 and 1 in the Nyström space of ``landmarks`` texts, which are spread over the classes."""
-    classes = tuple(sorted({y for _, y in rows}))
-    if not rows:
-        return LanguageModel((), np.zeros((N_FEATURES, 0), np.float32))
-    flags = np.zeros(N_FEATURES, bool)
-    xs = [spectrum(t, flags) for t, _ in rows]
-    turn = sorted(range(len(rows)), key=lambda i: (sum(rows[j][1] == rows[i][1] for j in range(i)), rows[i][1]))
+def _fit(xs: list[np.ndarray], labels: list[str], classes: tuple[str, ...], landmarks: int, ridge: float) -> tuple[list[np.ndarray], np.ndarray]:
+    """The landmarks and their dual weights."""
+    turn = sorted(range(len(xs)), key=lambda i: (sum(labels[j] == labels[i] for j in range(i)), labels[i]))
     chosen = [xs[i] for i in turn[:landmarks]]
     between = _kernel(chosen, chosen).astype(np.float64)
     values, vectors = np.linalg.eigh(between)
     keep = values > 1e-6 * values.max()
     white = vectors[:, keep] / np.sqrt(values[keep])
     phi = _kernel(xs, chosen) @ white
-    y = np.where(np.array([[c == label for c in classes] for _, label in rows]), 1.0, -1.0)
-    beta = np.linalg.solve(phi.T @ phi + ridge * len(rows) * np.eye(phi.shape[1]), phi.T @ y)
-    dual = white @ beta
+    y = np.where(np.array([[c == label for c in classes] for label in labels]), 1.0, -1.0)
+    beta = np.linalg.solve(phi.T @ phi + ridge * len(xs) * np.eye(phi.shape[1]), phi.T @ y)
+    return chosen, white @ beta
+
+
+def _thresholds(xs: list[np.ndarray], labels: list[str], classes: tuple[str, ...], landmarks: int, ridge: float) -> tuple[float, float]:
+    """A quarter of what nearly all held-out rows have as score and margin of their own class.
+
+    A text in none of the languages has a score and a margin of about 0; the quarter lies between those and the known ones, with
+    room for short texts. The quantile isn't the least, lest rows with a wrong label or in two languages open the gate.
+    """
+    nth = [sum(labels[j] == labels[i] for j in range(i)) for i in range(len(xs))]
+    found = []
+    for fold in range(FOLDS):
+        rest = [i for i in range(len(xs)) if nth[i] % FOLDS != fold]
+        known = {labels[i] for i in rest}
+        held = [i for i in range(len(xs)) if nth[i] % FOLDS == fold and labels[i] in known]
+        if not held:
+            continue
+        chosen, dual = _fit([xs[i] for i in rest], [labels[i] for i in rest], classes, landmarks, ridge)
+        for i, s in zip(held, _kernel([xs[i] for i in held], chosen) @ dual):
+            own = classes.index(labels[i])
+            found.append((s[own], s[own] - np.delete(s, own).max() if len(classes) > 1 else 2 * s[own]))
+    if len(found) < LEAST_HELD_OUT:
+        return MIN_SCORE, MIN_MARGIN
+    score, margin = np.quantile(np.array(found), LOW, axis=0)
+    return float(max(MIN_SCORE, min(score, SHARE * score))), float(max(MIN_MARGIN, SHARE * margin))
+
+
+def train(rows: list[tuple[str, str]], landmarks: int = 64, ridge: float = 1e-3) -> LanguageModel:
+    """Kernel ridge regression on targets -1 and 1 in the Nyström space of ``landmarks`` texts, which are spread over the classes; thresholds by cross-validation."""
+    classes = tuple(sorted({y for _, y in rows}))
+    if not rows:
+        return LanguageModel((), np.zeros((N_FEATURES, 0), np.float32))
+    flags = np.zeros(N_FEATURES, bool)
+    xs, labels = [spectrum(t, flags) for t, _ in rows], [label for _, label in rows]
+    chosen, dual = _fit(xs, labels, classes, landmarks, ridge)
     table = np.zeros((N_FEATURES, len(classes)))
     for x, w in zip(chosen, dual):
         table[x] += w / np.sqrt(max(1, len(x)))
-    return LanguageModel(classes, table.astype(np.float32))
+    return LanguageModel(classes, table.astype(np.float32), *_thresholds(xs, labels, classes, landmarks, ridge))
 
 
 def sample(docs: DataFrame, per_class: int, id_col: str, text_col: str, label_col: str) -> list[tuple[str, str]]:
@@ -119,8 +152,8 @@ def identify(
     per_class: int = PER_CLASS,
     landmarks: int = LANDMARKS,
     ridge: float = RIDGE,
-    min_score: float = MIN_SCORE,
-    min_margin: float = MIN_MARGIN,
+    min_score: float | None = None,
+    min_margin: float | None = None,
     id_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "lang",
@@ -132,6 +165,8 @@ def identify(
     Each text is used as a whole; (X L') c, the kernel with the landmarks times their weights, is computed as X (L' c) by one
     sparse-dense matrix product a batch. One pass over the documents without any shuffle. A document is rejected if its best
     score is below ``min_score`` or leads by less than ``min_margin``: then it looks like no language or like two at once.
+    A text of fewer bytes than the longest n-gram is rejected, too: it can't be told from one in no language.
+    Without thresholds the model's own are used, which ``train`` sets from rows that it holds out in turn.
 
     Result: ``id_col``, lang_pred, lang_score, lang_margin, accepted; or, with ``keep_columns``, all input columns with these
     four added, which replace input columns of the same names. Null, empty and blank texts are rejected, with null in the
@@ -154,7 +189,9 @@ def identify(
     return source.mapInArrow(task, schema)
 
 
-def _decider(docs: DataFrame, model: LanguageModel, min_score: float, min_margin: float, text_col: str):
+def _decider(docs: DataFrame, model: LanguageModel, min_score: float | None, min_margin: float | None, text_col: str):
+    min_score = model.min_score if min_score is None else min_score
+    min_margin = model.min_margin if min_margin is None else min_margin
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
@@ -168,7 +205,8 @@ def _decider(docs: DataFrame, model: LanguageModel, min_score: float, min_margin
                 best = s.argmax(axis=1)
                 top = s[np.arange(len(texts)), best]
                 margin = top - np.partition(s, -2, axis=1)[:, -2] if s.shape[1] > 1 else 2 * top
-                ok = some & (top >= min_score) & (margin >= min_margin)
+                wide = np.array([len(t.strip().encode()) >= max(WIDTHS) if len(t) < 64 else f for t, f in zip(texts, some)], bool)
+                ok = some & wide & (top >= min_score) & (margin >= min_margin)
                 label = pa.array([m.classes[b] if f else None for b, f in zip(best, some)], pa.string())
                 numbers = [pa.array(x.astype(np.float64), mask=~some) for x in (top, margin)]
                 yield part, [label, *numbers, pa.array(ok)]
@@ -176,7 +214,7 @@ def _decider(docs: DataFrame, model: LanguageModel, min_score: float, min_margin
     return decide
 
 
-def keep_identified(docs: DataFrame, model: LanguageModel | None = None, *, per_class: int = PER_CLASS, landmarks: int = LANDMARKS, ridge: float = RIDGE, min_score: float = MIN_SCORE, min_margin: float = MIN_MARGIN, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> DataFrame:
+def keep_identified(docs: DataFrame, model: LanguageModel | None = None, *, per_class: int = PER_CLASS, landmarks: int = LANDMARKS, ridge: float = RIDGE, min_score: float | None = None, min_margin: float | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> DataFrame:
     """The documents that ``identify`` accepts, with exactly the columns of the input, whatever their names."""
     model = model or train(sample(docs, per_class, id_col, text_col, label_col), landmarks, ridge)
     decide = _decider(docs, model, min_score, min_margin, text_col)

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import base64
 import random
 
 import numpy as np
@@ -72,3 +73,23 @@ def test_ties_are_rejected(docs):
     same = docs((1, "same words here", "aa"), (2, "same words here", "bb"))
     got = langid.identify(same)
     assert values(got, "doc_id", "lang_pred", "accepted") == [(1, "aa", False), (2, "aa", False)]
+
+
+def test_unknown_languages_code_and_noise_are_rejected(sf, spark):
+    rng = random.Random(6)
+    model = langid.train(langid.sample(spark.read.parquet(f"{sf}/documents.parquet"), langid.PER_CLASS, "doc_id", "text", "lang"), langid.LANDMARKS, langid.RIDGE)
+    unknown = [
+        "Η γρήγορη καφέ αλεπού πηδάει πάνω από το τεμπέλικο σκυλί και τρέχει στο δάσος. " * 5,
+        "Nopea ruskea kettu hyppää laiskan koiran yli ja juoksee metsään, jossa se asuu perheensä kanssa. " * 5,
+        "Szybki brązowy lis przeskakuje nad leniwym psem i biegnie do lasu, gdzie mieszka z rodziną. " * 5,
+        'int main(int argc, char **argv) { for (int i = 0; i < argc; i++) printf("%s\\n", argv[i]); return 0; }\n' * 5,
+        " ".join(f"{rng.getrandbits(32):08x}" for _ in range(200)),
+        base64.b64encode(rng.randbytes(2000)).decode(),
+        " ".join(str(rng.randrange(10**6)) for _ in range(300)),
+        "x",
+    ]
+    df = spark.createDataFrame(list(enumerate(unknown)), "doc_id bigint, text string")
+    assert values(langid.identify(df, model), "doc_id", "accepted") == [(i, False) for i in range(len(unknown))]
+    assert langid.keep_identified(df, model).count() == 0
+    held = langid.identify(spark.read.parquet(f"{sf}/documents.parquet").where("text is not null and trim(text) != ''"), model)
+    assert held.where("accepted").count() >= 0.98 * held.count()

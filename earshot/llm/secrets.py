@@ -17,14 +17,14 @@ from pyspark.sql import types as T
 
 _CANDIDATE = re.compile(
     r"-----BEGIN (?P<label>[A-Z0-9 ]{0,40}PRIVATE KEY)-----(?P<body>.*?)-----END (?P=label)-----"
-    r"|(?P<assigned>\b(?:[A-Za-z0-9_\-.]{0,40}?)(?:token|secret|api[_-]?key|access[_-]?key|private[_-]?key|signing[_-]?key|auth|passw(?:or)?d)\b[\"']?\s{0,4}(?::=|=>|=|:)\s{0,4}[\"']?)(?P<value>[A-Za-z0-9+/_\-]{16,}={0,2})(?![A-Za-z0-9+/_\-.])"
+    r"|(?P<assigned>\b(?:[A-Za-z0-9_\-.]{0,40}?)(?:token|secret|api[_-]?key|access[_-]?key|private[_-]?key|signing[_-]?key|auth|passw(?:or)?d)\b[\"']?\s{0,4}(?::=|=>|=|:)\s{0,4}[\"']?)(?P<value>[A-Za-z0-9+/_\-]{16,}={0,2})(?!\.?[A-Za-z0-9+/_\-])"
     r"|(?P<run>[A-Za-z0-9+/_\-]{20,}(?:\.[A-Za-z0-9+/_\-]{4,}){0,2}={0,2})",
     re.DOTALL | re.IGNORECASE,
 )
 #: A text without any of these has no candidate; the scan for it is a fraction of the full one's.
 _HINT = re.compile(r"[A-Za-z0-9+/_\-]{16}|-----BEGIN ")
 _HEX = re.compile(r"(?:[0-9a-f]{2})+|(?:[0-9A-F]{2})+")
-KEY_BYTES = frozenset({16, 20, 24, 32, 40, 48, 64})
+KEY_BYTES = frozenset({16, 20, 24, 30, 32, 40, 48, 64})
 _BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
 

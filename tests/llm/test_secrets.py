@@ -87,6 +87,26 @@ def test_assigned_values():
         assert secrets.scan(clean) == []
 
 
+def test_assigned_values_at_the_end_of_a_sentence():
+    rng = random.Random(7)
+    raw = rng.randbytes(20)
+    for end in (".", ". Then more.", ".\n", "...", ".)"):
+        text = f"The token: {raw.hex()}{end}"
+        assert [(x[0], text[x[2] : x[3]]) for x in secrets.scan(text)] == [("assigned_hex_key", raw.hex())]
+    padded = base64.b64encode(raw).decode()
+    text = f"secret = {padded}."
+    assert [(x[0], text[x[2] : x[3]]) for x in secrets.scan(text)] == [("assigned_base64_key", padded)]
+    jws = f"{url({'alg': 'HS256'})}.{url({'sub': 1})}.{url(rng.randbytes(32))}"
+    text = f"token: {jws}."
+    assert [(x[0], text[x[2] : x[3]]) for x in secrets.scan(text)] == [("signed_token", jws)]
+    assert secrets.scan(f"token: {raw.hex()}.example") == []
+
+
+def test_assigned_values_of_30_bytes():
+    value = base64.b64encode(random.Random(8).randbytes(30)).decode()
+    assert len(value) == 40 and [x[0] for x in secrets.scan(f"aws_secret_access_key = {value}")] == ["assigned_base64_key"]
+
+
 def test_scanning_time_is_linear():
     began = time.time()
     for text in ("-----BEGIN PRIVATE KEY-----" * 3000, "token=" * 30_000, "a-" * 200_000, "secret: " + "A" * 300_000, "x." * 200_000):

@@ -610,7 +610,7 @@ def chunk_padding(t: Tables) -> DataFrame:
     return sampling.chunks(t.seg, 500_000).select("row_no", "onset", "offset")
 
 
-# reliability: annotators a and b label the same two hours of each recording
+# reliability: annotators a and b label the same two days of each recording, or, in the queries named _whole, all of it
 
 _CATS = ("CHI", "FEM", "MAL", "OCH")
 _FRAME = 60_000
@@ -621,15 +621,16 @@ grid AS (SELECT * FROM fr UNION ALL SELECT coder, recording_filename, frame, 'no
 lab AS (SELECT coder, recording_filename, frame, coalesce(arg_max(category, list_position(['CHI','FEM','MAL','OCH','none'], category)), 'none') AS label FROM grid GROUP BY ALL)"""
 
 
-def _grid(t: Tables) -> DataFrame:
+def _grid(t: Tables, whole: bool = False) -> DataFrame:
     b = t.seg.withColumns({"segment_onset": F.col("segment_onset") + 30_000, "speaker_type": F.when(F.col("row_no") % 5 == 0, "FEM").otherwise(F.col("speaker_type"))})
     both = t.seg.withColumn("set", F.lit("a")).unionByName(b.withColumn("set", F.lit("b")))
-    ranges = t.rec.select(REC, F.lit(DAY).cast("bigint").alias("range_onset"), F.lit(3 * DAY).cast("bigint").alias("range_offset"))
+    begin, end = (F.lit(0), F.col("duration")) if whole else (F.lit(DAY), F.lit(3 * DAY))
+    ranges = t.rec.select(REC, begin.cast("bigint").alias("range_onset"), end.cast("bigint").alias("range_offset"))
     return reliability.frames(both, ranges, _FRAME, _CATS)
 
 
-def _labels(t: Tables) -> DataFrame:
-    return reliability.labels(_grid(t), (*_CATS, "none"))
+def _labels(t: Tables, whole: bool = False) -> DataFrame:
+    return reliability.labels(_grid(t, whole), (*_CATS, "none"))
 
 
 @query(f"{_GRID} SELECT recording_filename, coder, category, count(*) AS frames FROM grid GROUP BY ALL")
@@ -662,6 +663,36 @@ def error_rates(t: Tables) -> DataFrame:
     return reliability.error_rates(_grid(t), "a", "b")
 
 
+@query()
+def frame_grid_whole(t: Tables) -> DataFrame:
+    return _grid(t, True).groupBy(REC, "coder", "category").agg(F.count("*").alias("frames"))
+
+
+@query()
+def frame_labels_whole(t: Tables) -> DataFrame:
+    return _labels(t, True).groupBy(REC, "coder", "label").agg(F.count("*").alias("frames"))
+
+
+@query()
+def confusion_matrix_whole(t: Tables) -> DataFrame:
+    return reliability.confusion(_grid(t, True), "a", "b")
+
+
+@query()
+def krippendorff_alpha_whole(t: Tables) -> DataFrame:
+    return reliability.krippendorff_alpha(_labels(t, True))
+
+
+@query()
+def multi_kappa_whole(t: Tables) -> DataFrame:
+    return reliability.multi_kappa(_labels(t, True), ["a", "b"])
+
+
+@query()
+def error_rates_whole(t: Tables) -> DataFrame:
+    return reliability.error_rates(_grid(t, True), "a", "b")
+
+
 # validation and management
 
 

@@ -1,9 +1,14 @@
 from __future__ import annotations
 
+import random
+from collections import Counter
+from datetime import datetime, timedelta
+
 import pytest
 from conftest import values
 
 from earshot.operators import reliability
+from earshot.plans.queries import QUERIES
 
 SEG = "set string, recording_filename string, segment_onset bigint, segment_offset bigint, speaker_type string"
 
@@ -60,3 +65,38 @@ def test_kappa_of_two(frame):
     pairs = [("y", "y")] * 20 + [("y", "n")] * 5 + [("n", "y")] * 10 + [("n", "n")] * 15
     df = frame("recording_filename string, frame int, coder string, label string", *[("x", i, c, p[j]) for i, p in enumerate(pairs) for j, c in enumerate("ab")])
     assert reliability.multi_kappa(df, ["a", "b"]).first()["kappa"] == pytest.approx(0.4)
+
+
+def test_whole_recordings_by_brute_force(spark, tmp_path):
+    """Segments before the second and after the third day count in the queries over whole recordings."""
+    rng, kinds = random.Random(4), {"click": "CHI", "view": "FEM", "purchase": "MAL", "signup": "OCH", "error": "NA"}
+    begin, day = datetime(2024, 1, 1), 1440
+    rows = [(i, i % 2, begin + timedelta(minutes=rng.randrange(5 * day)), rng.choice([*kinds]), float(rng.randrange(1, 40))) for i in range(60)]
+    spark.createDataFrame(rows, "event_id bigint, user_id bigint, ts timestamp_ntz, event_type string, value double").write.parquet(str(tmp_path / "events.parquet"))
+    order = ["CHI", "FEM", "MAL", "OCH", "none"]
+    segs = [(f"rec{u}", int((ts - begin).total_seconds()) * 1000, int((ts - begin).total_seconds()) * 1000 + round(v * 100) * 1000, kinds[e], i) for i, u, ts, e, v in rows]
+    grid = {}
+    for rec in ("rec0", "rec1"):
+        n = -(-max(s[2] for s in segs if s[0] == rec) // 60_000)
+        grid |= {(rec, c, f): set() for c in "ab" for f in range(n)}
+    for rec, on, off, kind, i in segs:
+        for coder, start, label in (("a", on, kind), ("b", on + 30_000, "FEM" if i % 5 == 0 else kind)):
+            for f in range(start // 60_000, off // 60_000) if label != "NA" else ():
+                grid[rec, coder, f].add(label)
+    active = {k: v or {"none"} for k, v in grid.items()}
+    label = {k: max(v, key=order.index) for k, v in active.items()}
+    run = lambda name: values(QUERIES[name](spark, str(tmp_path)))
+    assert run("frame_grid_whole") == sorted((r, c, x, n) for (r, c, x), n in Counter((r, c, x) for (r, c, _), v in active.items() for x in v).items())
+    assert run("frame_labels_whole") == sorted((r, c, x, n) for (r, c, x), n in Counter((r, c, x) for (r, c, _), x in label.items()).items())
+    at = [(r, f) for r, c, f in active if c == "a"]
+    assert run("confusion_matrix_whole") == sorted((x, y, n) for (x, y), n in Counter((x, y) for r, f in at for x in active[r, "a", f] for y in active[r, "b", f]).items())
+    n, counts = len(at), Counter(label.values())
+    observed = sum(label[r, "a", f] != label[r, "b", f] for r, f in at) / n
+    expected = (4 * n * n - sum(c * c for c in counts.values())) / (2 * n * (2 * n - 1))
+    assert run("krippendorff_alpha_whole")[0] == pytest.approx((1 - observed / expected, 2 * n, observed, expected), abs=1e-6)
+    one, two = (Counter(x for (_, c, _), x in label.items() if c == who) for who in "ab")
+    chance = sum(one[x] * two[x] for x in order) / n / n
+    assert run("multi_kappa_whole")[0] == pytest.approx((1 - observed / (1 - chance), 1 - observed, chance), abs=1e-6)
+    pairs = [(grid[r, "a", f], grid[r, "b", f]) for r, f in at]
+    reference, missed, alarm, confused = (sum(x) for x in zip(*((len(r), max(len(r) - len(h), 0), max(len(h) - len(r), 0), min(len(r), len(h)) - len(r & h)) for r, h in pairs)))
+    assert run("error_rates_whole")[0] == pytest.approx((reference, missed, alarm, confused, (missed + alarm) / reference, (missed + alarm + confused) / reference), abs=1e-6)

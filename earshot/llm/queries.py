@@ -42,7 +42,7 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.grade_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")).where("selected")
+    return quality.grade_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -86,3 +86,10 @@ def test_ratings(spark):
     S = T.StructType([T.StructField("quality", T.IntegerType()), T.StructField("toxic", T.IntegerType())])
     df = spark.createDataFrame([(1, 0), (0, 0), (1, 1), (None, 1), (None, 0), (1, None)], S)
     assert [r[0] for r in df.select(quality.rating()).collect()] == [2, 1, 0, 0, None, None]
+
+
+def test_query_has_a_row_for_each_document(spark, sf):
+    from earshot.llm import queries
+
+    got, docs = queries.op8_quality(spark, sf), spark.read.parquet(f"{sf}/documents.parquet")
+    assert values(got, "doc_id") == values(docs, "doc_id") and 0 < got.where("selected").count() < docs.count()

@@ -79,6 +79,12 @@ def recordings_whitelist(t: Tables) -> DataFrame:
     return manage.recordings_from_list(t.rec, wanted.join(t.rec, REC, "left_semi")).select(REC, "duration", "child_id")
 
 
+@query()
+def recordings_whitelist_whole(t: Tables) -> DataFrame:
+    wanted = t.read("orders").select(F.concat(F.lit("rec"), F.col("o_custkey").cast("string")).alias(REC)).distinct()
+    return manage.recordings_from_list(t.rec, wanted.join(t.rec, REC, "left_semi")).select(REC, "duration", "child_id")
+
+
 @query("SELECT 'kept' AS part, count(*) AS n, CAST(sum(duration) AS BIGINT) AS duration FROM rec WHERE discard != '1' UNION ALL SELECT 'discarded', count(*), CAST(sum(duration) AS BIGINT) FROM rec WHERE discard = '1'")
 def discard_split(t: Tables) -> DataFrame:
     kept, gone = manage.split_discarded(t.rec)
@@ -802,3 +808,10 @@ def annotation_templates(t: Tables) -> DataFrame:
     from earshot.sources.tables import eaf_templates
 
     return eaf_templates(t.seg.where("speaker_type = 'MAL'").select(REC, *SEGMENT).distinct(), 60_000).withColumn("code_num", F.col("code_num").cast("bigint"))
+
+
+@query()
+def annotation_templates_whole(t: Tables) -> DataFrame:
+    from earshot.sources.tables import eaf_templates
+
+    return eaf_templates(t.seg.select(REC, *SEGMENT).distinct(), 60_000).withColumn("code_num", F.col("code_num").cast("bigint"))

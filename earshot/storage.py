@@ -1,8 +1,9 @@
-"""Lineage cuts that survive the loss of an executor."""
+"""Lineage cuts that survive the loss of an executor: tables in a folder that all executors share."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,9 +23,18 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it from there."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """Write ``df`` to the shared folder and read it from there; ``forget`` deletes it. Unlike a checkpoint it is compressed and its size is known to the optimizer."""
+    path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Delete what ``cut`` has written, once nothing that is still to run reads it."""
+    if path := getattr(df, "_cut_path", None):
+        remove(df.sparkSession, path)
 
 
 def remove(spark: SparkSession, path: str) -> None:

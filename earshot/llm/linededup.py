@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from earshot.llm import bits
+from earshot.llm.places import PLACE, Placed
 from earshot.llm.textkit import NEWLINE, buffers, chunks, tokens
 from earshot.storage import cut
 
 HASHES = 2
+PART_BYTES = 128 << 20  # of text, whose lists of dropped lines lie together
 
 
 def _lines(column: pa.Array) -> Iterator[tuple]:
@@ -30,14 +34,16 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     filled by all tasks, one with the lines seen once and one with those seen twice; a line goes to the exact step only if the
     second holds it. The exact step groups these suspects by the whole line. The filters take ``bits_per_line`` for each
     ``bytes_per_line`` of text, at most ``most_bits`` (64 MB to each worker); when that is too little they let more lines pass
-    to the exact step, and the result is the same.
+    to the exact step, and the result is the same. What is to be dropped is written as lists of line numbers by the place of
+    each document in its file, which the tasks that scan the files read again: no document is shuffled.
 
     Result: ``id_col``, text, lines_removed (bigint), a row for each row of the input. A null text gives a null text and 0.
     Lines are compared byte by byte; empty lines are no repeats and stay. Rows of one id count as one document: they don't
     make one another's lines repeats, and equal rows come out equal. Null ids come after all others and count as one
     document. Other columns are left out. An empty input gives an empty result.
     """
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    placed = Placed(docs)
+    source = placed.df.select(placed.col(id_col).alias("id"), placed.col(text_col).alias("text"), *PLACE)
     kind = source.schema["id"].dataType
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     log2 = bits.width(size / bytes_per_line, bits_per_line, most_bits)
@@ -61,7 +67,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         """The lines that the filter holds, and repeats within a document (with no line: they need no other step)."""
         seen = shared.value
         for batch in batches:
-            ids, whose, which, text, version = batch.column(0), [], [], [], []
+            whose, which, text = [], [], []
             for i, at, data, h, starts, ends, rows in _lines(batch.column(1)):
                 maybe = bits.holds(seen, h, log2, HASHES)
                 for r in range(len(rows) - 1):
@@ -85,19 +91,32 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                             which.append(int(np.searchsorted(breaks, starts[n])))
                             text.append(None if again else line.decode())
             take = pa.array(whose, pa.int64())
-            yield pa.RecordBatch.from_arrays([ids.take(take), batch.column(2).take(take), pa.array(which, pa.int32()), pa.array(text, pa.string())], names=["id", "version", "line_no", "line"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in (0, 2, 3)), pa.array(which, pa.int32()), pa.array(text, pa.string())], names=["id", *PLACE, "line_no", "line"])
 
-    shape = T.StructType([T.StructField("id", kind), T.StructField("version", T.LongType()), T.StructField("line_no", T.IntegerType()), T.StructField("line", T.StringType())])
-    versioned = source.withColumn("version", F.xxhash64("text"))
-    found = cut(versioned.select("id", "text", "version").mapInArrow(suspects, shape))
+    shape = T.StructType([T.StructField("id", kind), *(T.StructField(c, T.LongType()) for c in PLACE), T.StructField("line_no", T.IntegerType()), T.StructField("line", T.StringType())])
+    found = cut(source.mapInArrow(suspects, shape))
     # A null id is after all others: the least id of a line is null only where no other document has it.
-    first = found.where("line is not null").groupBy("line").agg(F.min("id").alias("first"))
-    later = found.where("line is not null").join(first, "line").where("first is not null and (id is null or id != first)").select("id", "version", "line_no")
-    drops = found.where("line is null").select("id", "version", "line_no").union(later).groupBy("id", "version").agg(F.collect_set("line_no").alias("drop"))
-    both = versioned.alias("d").join(drops.alias("x"), F.expr("d.id <=> x.id and d.version = x.version"), "left")
-    kept = F.array_join(F.filter(F.split("d.text", "\n", -1), lambda _, n: ~F.array_contains("x.drop", n)), "\n")
-    text = F.when(F.col("x.drop").isNull(), F.col("d.text")).otherwise(kept)
-    return both.select(F.col("d.id").alias(id_col), text.alias("text"), F.coalesce(F.size("x.drop"), F.lit(0)).cast("bigint").alias("lines_removed"))
+    lines = found.where("line is not null")
+    first = lines.groupBy("line").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("n"), F.count("id").alias("named"))
+    first = first.where("first is not null and (first != last or named < n)").select("line", "first")
+    later = lines.join(first, "line").where("id is null or id != first").select(*PLACE, "line_no")
+    drops = found.where("line is null").select(*PLACE, "line_no").union(later).groupBy(*PLACE).agg(F.sort_array(F.collect_set("line_no")).alias("drop"))
+    names = [c.lower() for c in placed.columns]
+    id_at, text_at = names.index(id_col.lower()), names.index(text_col.lower())
+
+    def without(batch: pa.RecordBatch, at: np.ndarray, lists: pa.Array | None) -> pa.RecordBatch:
+        text, removed = batch.column(text_at), np.zeros(batch.num_rows, np.int64)
+        if len(at):
+            kept = []
+            for t, drop in zip(text.take(pa.array(at)).to_pylist(), lists.to_pylist()):
+                gone = set(drop)
+                kept.append("\n".join(line for n, line in enumerate(t.split("\n")) if n not in gone))
+            removed[at] = pa.compute.list_value_length(lists).to_numpy()
+            text = pa.compute.replace_with_mask(text, pa.array(removed > 0), pa.array(kept, text.type))
+        return pa.RecordBatch.from_arrays([batch.column(id_at), text, pa.array(removed)], names=[id_col, "text", "lines_removed"])
+
+    schema = T.StructType([T.StructField(id_col, kind), T.StructField("text", T.StringType()), T.StructField("lines_removed", T.LongType())])
+    return placed.apply(drops, math.ceil(size / PART_BYTES), without, schema)
 
 
 ORACLE_SQL = """

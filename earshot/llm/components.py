@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from earshot.storage import cut
+from earshot.storage import cut, forget
 
 
 def _least(sym: DataFrame) -> DataFrame:
@@ -33,13 +33,15 @@ def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
 
     Both steps keep connectivity and are repeated until nothing changes, which takes a number of rounds that grows with the
     logarithm of the largest component. Each round is written to the shared folder, so a lost executor costs one round at
-    most. A hub's edges are joined with one row, which adaptive execution can split. Self-loops and repeated edges have no
-    effect, rows with a null are left out, and no edges give no rows.
+    most, and deleted once the next one is. A hub's edges are joined with one row, which adaptive execution can split. Self-loops and repeated edges have no
+    effect, rows with a null are left out, and no edges give no rows. Not to have settled after ``most_rounds`` (a path of some
+    2 to the power of 50 nodes would need as many) raises RuntimeError.
     """
     now = cut(edges.select("u", "v").where("u is not null and v is not null and u != v").distinct())
     state = None
     for _ in range(most_rounds):
-        now = cut(small_star(large_star(now)))
+        before, now = now, cut(small_star(large_star(now)))
+        forget(before)
         after = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if after == state:
             break

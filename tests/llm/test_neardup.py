@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import values
 from hypothesis import given, settings
@@ -95,10 +96,53 @@ def test_odd_rows(odd, none, docs):
     assert got == [(5, 5, 2), (6, 5, 2)]
     kept = neardup.keep_one(odd)
     assert kept.columns == odd.columns
-    # 6 is a copy of 5; of the rows of ids 7 and 8 one each stays; both rows without an id stay
-    assert [r[0] for r in values(kept, "doc_id")] == [1, 2, 3, 4, 5, 7, 8, 9, 10, 11, 12, None, None]
+    # 6 is a copy of 5; the rows of id 7 are equal, those of 8 unlike; both rows without an id stay
+    assert [r[0] for r in values(kept, "doc_id")] == [1, 2, 3, 4, 5, 7, 8, 8, 9, 10, 11, 12, None, None]
     assert neardup.near_duplicates(none).count() == neardup.keep_one(none).count() == 0
     ties = docs((3, "a b c d"), (2, "A, b. c d"), (9, "x"), (8, "x"), (7, None), (6, None))
     assert values(neardup.near_duplicates(ties)) == [(2, 2, 2), (3, 2, 2), (8, 8, 2), (9, 8, 2)]
     with pytest.raises(ValueError):
         neardup.near_duplicates(ties, bands=1000, rows=9)
+
+
+def test_rows_of_one_id_are_lost_only_as_copies(docs):
+    rows = [(7, "one text of its own kind"), (7, "quite another thing here"), (7, "one text of its own kind"), (9, "one text, of its own kind!")]
+    assert sorted(r[1] for r in values(neardup.keep_one(docs(*rows)), "doc_id", "text")) == ["one text of its own kind", "quite another thing here"]
+
+
+def test_columns_of_any_name_come_back_as_they_were(spark):
+    names = "doc_id bigint, text string, `_nd_node` string, `_nd_nth` string, `node` string, place_file string, place_row string, place_part string, c0 string, _metadata string, `a.b` string"
+    extra = [f"x{i}" for i in range(9)]
+    df = spark.createDataFrame([(1, "a b c d e", *extra), (2, "a b c d e", *extra), (3, "z y x", *extra)], names)
+    got = neardup.keep_one(df)
+    assert got.columns == df.columns and values(got) == [(1, "a b c d e", *extra), (3, "z y x", *extra)]
+
+
+@pytest.mark.parametrize("block", [4, 16, 2048])
+def test_buckets_of_unlike_members(docs, spark, block):
+    """Texts that share many bands and few words: all links that the bands allow are found, whatever the size of the blocks."""
+    rng = random.Random(11)
+    base, rows = words(rng, 60), []
+    for i in range(120):
+        keep = rng.choice([0.35, 0.6, 0.9])
+        rows.append((i, " ".join(base[: int(60 * keep)] + [f"u{i}w{j}" for j in range(60 - int(60 * keep))])))
+    k = neardup.BANDS * neardup.ROWS
+    sets = {i: np.unique(next(neardup.shingles(pa.array([t]), neardup.SHINGLE))[1]) for i, t in rows}
+    sig = {i: neardup.signature(x, k) for i, x in sets.items()}
+    bands = {i: s.reshape(neardup.BANDS, neardup.ROWS) for i, s in sig.items()}
+    pairs = [(i, j) for i in sig for j in sig if i < j and (bands[i] == bands[j]).all(axis=1).any() and (sig[i] == sig[j]).sum() >= k / 2]
+    shared = sum((bands[i] == bands[j]).all(axis=1).any() for i in sig for j in sig if i < j)
+    assert shared > 2 * len(pairs) > 0
+    want = unite(pairs)
+    assert {r[0]: r[1] for r in values(neardup.near_duplicates(docs(*rows).repartition(3), block=block))} == want
+
+
+def test_a_bucket_of_unlike_signatures_is_shared_by_several_tasks(spark):
+    """One band's key for all rows and nothing else in common: units of at most two blocks, none with a bucket as a whole."""
+    n, k = 4000, neardup.BANDS * neardup.ROWS
+    rng = np.random.default_rng(3)
+    sig = rng.integers(0, 1 << 32, (n, k), dtype=np.uint64).astype(np.uint32)
+    sig[:, : neardup.ROWS] = 5
+    sig[n - 1], sig[n - 1, -1] = sig[7], 1
+    df = spark.createDataFrame([(i, i, i, sig[i].tobytes()) for i in range(n)], "node bigint, s1 bigint, s2 bigint, sig binary").repartition(4)
+    assert values(neardup.similar_groups(neardup.cut(df), 0.5, neardup.BANDS, neardup.ROWS, block=512)) == [(7, 7), (n - 1, 7)]

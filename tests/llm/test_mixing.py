@@ -75,3 +75,72 @@ def test_odd_rows(odd, none, docs):
     for bad in ({"s": -1.0}, {"s": float("inf")}):
         with pytest.raises(ValueError):
             mixing.copies(odd, bad)
+
+
+def serial(rows, expected, leaf_rows, seed):
+    """The two trees one pair at a time: rows are (source, id, key, hash of source); gives copies by (source, id)."""
+    unsigned = lambda x: x & ((1 << 64) - 1)
+    deep = lambda n: max(0, math.ceil(math.log2(max(1, n) / leaf_rows)))
+    p = {r[:2]: expected[r[0]] % 1.0 for r in rows}
+
+    def reduce(members, level):
+        left = None
+        for r in sorted(members, key=lambda r: (r[2], r[3])):
+            u = float(mixing.uniform(np.array([r[2]], np.int64), seed * 64 + level)[0])
+            x = r[:2]
+            if min(p[x], 1 - p[x]) < mixing.WHOLE:
+                p[x] = round(p[x])
+            elif left is None:
+                left = r
+            else:
+                y = left[:2]
+                a, b = p[y], p[x]
+                if a + b < 1:
+                    stays, p[y], p[x] = (left, a + b, 0) if u < a / (a + b) else (r, 0, a + b)
+                else:
+                    stays, p[y], p[x] = (r, 1, a + b - 1) if u < (1 - b) / (2 - a - b) else (left, a + b - 1, 1)
+                if min(p[stays[:2]], 1 - p[stays[:2]]) < mixing.WHOLE:
+                    p[stays[:2]], stays = round(p[stays[:2]]), None
+                left = stays
+        return left
+
+    def level_of(members, level, by):
+        groups = defaultdict(list)
+        for r in members:
+            groups[by(r)].append(r)
+        return [r for g in groups.values() if (r := reduce(g, level)) is not None]
+
+    bits = deep(max(Counter(r[0] for r in rows).values()))
+    leaf = lambda h, n: unsigned(h) >> (64 - n) if n else 0
+    now, n = level_of(rows, 0, lambda r: (r[0], leaf(r[2], bits))), 0
+    while bits > 0:
+        bits, n = max(0, bits - mixing.FAN_IN_BITS), n + 1
+        now = level_of(now, n, lambda r: (r[0], leaf(r[2], bits)))
+    bits = deep(len(expected)) + mixing.FAN_IN_BITS
+    while bits > 0:
+        bits, n = max(0, bits - mixing.FAN_IN_BITS), n + 1
+        now = level_of(now, n, lambda r: leaf(r[3], bits))
+    return {r[:2]: math.floor(expected[r[0]]) + p[r[:2]] for r in rows}, {r[:2] for r in now}
+
+
+@pytest.mark.parametrize("leaf_rows, sources", [(4096, 3), (2, 40)])
+def test_against_a_serial_tree(docs, leaf_rows, sources):
+    rng = random.Random(leaf_rows)
+    df = docs(*[(i, "t", "en", f"s{int(rng.random() ** 3 * sources)}") for i in range(500)]).repartition(4)
+    hashes = df.selectExpr("source", "doc_id", "xxhash64(source, doc_id, 0)", "xxhash64(source)")
+    got = values(mixing.copies(df, total=333.25, leaf_rows=leaf_rows, seed=5))
+    want, open_ = serial([tuple(r) for r in hashes.collect()], {r[1]: r[3] for r in got}, leaf_rows, 5)
+    assert len(open_) <= 1 and all(c == want[s, d] for d, s, _, _, c in got if (s, d) not in open_)
+    assert abs(sum(r[4] for r in got) - 333.25) < 1 + 1e-6
+
+
+def test_columns_of_any_name_come_back_as_they_were(spark):
+    names = "doc_id bigint, text string, source string, `_mix_id` string, `_mix_at` string, `_mix_copy` string, place_file string, copies string, n string, c0 string"
+    df = spark.createDataFrame([(i, f"t{i}", "s", *[f"x{i}{j}" for j in range(7)]) for i in range(5)], names)
+    got = mixing.mix_sources(df, total=10.0)
+    assert got.columns == df.columns and values(got) == sorted([tuple(r) for r in df.collect()] * 2)
+
+
+def test_many_rows_without_an_id(docs):
+    rows = [(None, f"t{i}", "en", "s") for i in range(50)] + [(1, "u", "en", "s")] * 3
+    assert Counter(r[0] for r in values(mixing.mix_sources(docs(*rows), total=53.0), "text")) == Counter([f"t{i}" for i in range(50)] + ["u"] * 3)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,6 +20,8 @@ _SPREAD = np.uint32(2654435761)
 
 #: Production parameters; PER_CLASS bounds the training sample. MIN_SCORE and MIN_MARGIN are the floor of the thresholds that are set from held-out rows.
 PER_CLASS, LANDMARKS, RIDGE, MIN_SCORE, MIN_MARGIN = 200, 64, 1e-3, -0.9, 0.01
+#: The least landmarks of a class, and the most classes: the sample and the table that all workers get grow with these only.
+EACH, MOST_CLASSES = 16, 500
 #: Held-out rows come from FOLDS folds; SHARE of their quantile LOW counts; with fewer than LEAST_HELD_OUT of them the floor stays.
 FOLDS, LOW, SHARE, LEAST_HELD_OUT = 4, 0.05, 0.25, 20
 
@@ -53,73 +56,102 @@ def spectrum(text: str, flags: np.ndarray) -> np.ndarray:
     return ids
 
 
-def _kernel(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
-    """|x and y| / sqrt(|x| |y|) for all pairs, by one sparse-dense product in blocks of ys' features."""
-    dense = np.zeros((N_FEATURES, len(ys)), np.float32)
-    for j, y in enumerate(ys):
-        dense[y, j] = 1 / np.sqrt(max(1, len(y)))
-    return np.stack([dense[x].sum(axis=0) / np.sqrt(max(1, len(x))) for x in xs]) if xs else np.zeros((0, len(ys)), np.float32)
+def _kernel(xs: list[np.ndarray], ys: list[np.ndarray], width: int = 64) -> np.ndarray:
+    """|x and y| / sqrt(|x| |y|) for all pairs, by a sparse-dense product for each ``width`` of the ys."""
+    out = np.zeros((len(xs), len(ys)), np.float32)
+    for low in range(0, len(ys), width):
+        part = ys[low : low + width]
+        dense = np.zeros((N_FEATURES, len(part)), np.float32)
+        for j, y in enumerate(part):
+            dense[y, j] = 1 / np.sqrt(max(1, len(y)))
+        for i, x in enumerate(xs):
+            out[i, low : low + width] = dense[x].sum(axis=0) / np.sqrt(max(1, len(x)))
+    return out
+
+
+def _turns(labels: list[str]) -> np.ndarray:
+    """The number of each row among those of its label."""
+    seen: Counter[str] = Counter()
+    out = np.zeros(len(labels), np.int64)
+    for i, label in enumerate(labels):
+        out[i] = seen[label]
+        seen[label] += 1
+    return out
 
 
-def _fit(xs: list[np.ndarray], labels: list[str], classes: tuple[str, ...], landmarks: int, ridge: float) -> tuple[list[np.ndarray], np.ndarray]:
-    """The landmarks and their dual weights."""
-    turn = sorted(range(len(xs)), key=lambda i: (sum(labels[j] == labels[i] for j in range(i)), labels[i]))
-    chosen = [xs[i] for i in turn[:landmarks]]
-    between = _kernel(chosen, chosen).astype(np.float64)
+def _solve(k: np.ndarray, between: np.ndarray, y: np.ndarray, ridge: float) -> np.ndarray:
+    """The landmarks' dual weights, from the kernel of the rows with them and of them with one another."""
     values, vectors = np.linalg.eigh(between)
     keep = values > 1e-6 * values.max()
     white = vectors[:, keep] / np.sqrt(values[keep])
-    phi = _kernel(xs, chosen) @ white
-    y = np.where(np.array([[c == label for c in classes] for label in labels]), 1.0, -1.0)
-    beta = np.linalg.solve(phi.T @ phi + ridge * len(xs) * np.eye(phi.shape[1]), phi.T @ y)
-    return chosen, white @ beta
+    phi = k @ white
+    return white @ np.linalg.solve(phi.T @ phi + ridge * len(k) * np.eye(phi.shape[1]), phi.T @ y)
 
 
-def _thresholds(xs: list[np.ndarray], labels: list[str], classes: tuple[str, ...], landmarks: int, ridge: float) -> tuple[float, float]:
+def _thresholds(k: np.ndarray, chosen: np.ndarray, own: np.ndarray, y: np.ndarray, nth: np.ndarray, ridge: float) -> tuple[float, float]:
     """A quarter of what nearly all held-out rows have as score and margin of their own class.
 
     A text in none of the languages has a score and a margin of about 0; the quarter lies between those and the known ones, with
     room for short texts. The quantile isn't the least, lest rows with a wrong label or in two languages open the gate.
+    Neither the rows of a fold nor the landmarks among them take part in its fit.
     """
-    nth = [sum(labels[j] == labels[i] for j in range(i)) for i in range(len(xs))]
     found = []
     for fold in range(FOLDS):
-        rest = [i for i in range(len(xs)) if nth[i] % FOLDS != fold]
-        known = {labels[i] for i in rest}
-        held = [i for i in range(len(xs)) if nth[i] % FOLDS == fold and labels[i] in known]
-        if not held:
+        rest = nth % FOLDS != fold
+        marks = np.flatnonzero(rest[chosen])
+        held = np.flatnonzero(~rest & np.isin(own, own[rest]))
+        if not len(held) or not len(marks):
             continue
-        chosen, dual = _fit([xs[i] for i in rest], [labels[i] for i in rest], classes, landmarks, ridge)
-        for i, s in zip(held, _kernel([xs[i] for i in held], chosen) @ dual):
-            own = classes.index(labels[i])
-            found.append((s[own], s[own] - np.delete(s, own).max() if len(classes) > 1 else 2 * s[own]))
-    if len(found) < LEAST_HELD_OUT:
+        dual = _solve(k[np.ix_(rest, marks)].astype(np.float64), k[np.ix_(chosen[marks], marks)].astype(np.float64), y[rest], ridge)
+        s = k[np.ix_(held, marks)] @ dual
+        mine = s[np.arange(len(held)), own[held]]
+        s[np.arange(len(held)), own[held]] = -np.inf
+        found.append(np.column_stack([mine, mine - s.max(axis=1) if y.shape[1] > 1 else 2 * mine]))
+    held_out = np.concatenate(found) if found else np.zeros((0, 2))
+    if len(held_out) < LEAST_HELD_OUT:
         return MIN_SCORE, MIN_MARGIN
-    score, margin = np.quantile(np.array(found), LOW, axis=0)
+    score, margin = np.quantile(held_out, LOW, axis=0)
     return float(max(MIN_SCORE, min(score, SHARE * score))), float(max(MIN_MARGIN, SHARE * margin))
 
 
-def train(rows: list[tuple[str, str]], landmarks: int = 64, ridge: float = 1e-3) -> LanguageModel:
-    """Kernel ridge regression on targets -1 and 1 in the Nyström space of ``landmarks`` texts, which are spread over the classes; thresholds by cross-validation."""
+def train(rows: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float = RIDGE, each: int = EACH) -> LanguageModel:
+    """Kernel ridge regression on targets -1 and 1 in the Nyström space of landmark texts; thresholds by cross-validation.
+
+    There are ``landmarks`` of them, and more where the classes are many: each class has ``each``, or all its rows if it has
+    fewer. They are taken from the classes in turn.
+    """
     classes = tuple(sorted({y for _, y in rows}))
     if not rows:
         return LanguageModel((), np.zeros((N_FEATURES, 0), np.float32))
     flags = np.zeros(N_FEATURES, bool)
     xs, labels = [spectrum(t, flags) for t, _ in rows], [label for _, label in rows]
-    chosen, dual = _fit(xs, labels, classes, landmarks, ridge)
-    table = np.zeros((N_FEATURES, len(classes)))
-    for x, w in zip(chosen, dual):
-        table[x] += w / np.sqrt(max(1, len(x)))
-    return LanguageModel(classes, table.astype(np.float32), *_thresholds(xs, labels, classes, landmarks, ridge))
+    nth, at = _turns(labels), {c: i for i, c in enumerate(classes)}
+    own = np.array([at[label] for label in labels])
+    turn = np.lexsort((own, nth))
+    chosen = turn[: max(landmarks, int((nth < each).sum()))]
+    k = _kernel(xs, [xs[i] for i in chosen])
+    y = np.where(own[:, None] == np.arange(len(classes))[None, :], 1.0, -1.0)
+    dual = _solve(k.astype(np.float64), k[chosen].astype(np.float64), y, ridge)
+    table = np.zeros((N_FEATURES, len(classes)), np.float32)
+    for i, w in zip(chosen, dual):
+        table[xs[i]] += (w / np.sqrt(max(1, len(xs[i])))).astype(np.float32)
+    return LanguageModel(classes, table, *_thresholds(k, chosen, own, y, nth, ridge))
 
 
 def sample(docs: DataFrame, per_class: int, id_col: str, text_col: str, label_col: str) -> list[tuple[str, str]]:
-    """At most ``per_class`` labelled rows of each class, those of the least hash; only ids and labels are shuffled."""
+    """At most ``per_class`` labelled rows of each class, those with a text of the least hash; only ids and labels are shuffled.
+
+    Of more than MOST_CLASSES labels, which would be a table of another kind, no model is made: ValueError.
+    """
+    classes = docs.select(F.col(label_col).alias("label")).where("label is not null").distinct().limit(MOST_CLASSES + 1).count()
+    if classes > MOST_CLASSES:
+        raise ValueError(f"{label_col} has more than {MOST_CLASSES} labels")
     order = F.xxhash64(F.col("id").cast("string"))
     ranked = Window.partitionBy("label").orderBy("h", "id")
     ids = (
-        docs.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"))
-        .where("id is not null and label is not null")
+        docs.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(text_col).alias("text"))
+        .where("id is not null and label is not null and text is not null and trim(text) != ''")
+        .select("id", "label")
         .withColumn("h", order)
         .withColumn("rank", F.row_number().over(ranked))
         .where(F.col("rank") <= per_class)
@@ -215,7 +247,11 @@ def _decider(docs: DataFrame, model: LanguageModel, min_score: float | None, min
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel | None = None, *, per_class: int = PER_CLASS, landmarks: int = LANDMARKS, ridge: float = RIDGE, min_score: float | None = None, min_margin: float | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> DataFrame:
-    """The documents that ``identify`` accepts, with exactly the columns of the input, whatever their names."""
+    """The documents that ``identify`` accepts, with exactly the columns of the input, whatever their names.
+
+    Null, empty and blank texts go, and all documents where no row has a label; equal rows stay or go together, null ids stay
+    or go by their texts. An empty input gives an empty result.
+    """
     model = model or train(sample(docs, per_class, id_col, text_col, label_col), landmarks, ridge)
     decide = _decider(docs, model, min_score, min_margin, text_col)
 

@@ -93,3 +93,38 @@ def test_unknown_languages_code_and_noise_are_rejected(sf, spark):
     assert langid.keep_identified(df, model).count() == 0
     held = langid.identify(spark.read.parquet(f"{sf}/documents.parquet").where("text is not null and trim(text) != ''"), model)
     assert held.where("accepted").count() >= 0.98 * held.count()
+
+
+def test_a_hundred_languages_and_noise():
+    """Each has words of its own from common letters: all get landmarks, and noise is in none of them."""
+    rng = random.Random(1)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    stems = {f"l{n:03}": ["".join(rng.choice(letters) for _ in range(rng.randint(2, 4))) for _ in range(30)] for n in range(100)}
+    write = lambda name, n: " ".join("".join(rng.choice(stems[name]) for _ in range(rng.randint(1, 3))) for _ in range(n))
+    model = langid.train([(write(name, 60), name) for _ in range(20) for name in stems])
+    flags = np.zeros(langid.N_FEATURES, bool)
+    truth = [name for name in stems for _ in range(10)]
+    s = langid.scores([write(name, 60) for name in truth], model, flags)
+    right = np.array([model.classes[b] for b in s.argmax(axis=1)]) == np.array(truth)
+    assert right.reshape(100, 10).mean(axis=1).min() >= 0.97
+    accepted = lambda s: (s.max(axis=1) >= model.min_score) & (s.max(axis=1) - np.partition(s, -2, axis=1)[:, -2] >= model.min_margin)
+    assert accepted(s).mean() >= 0.98
+    noise = ["".join(chr(rng.randint(33, 126)) for _ in range(rng.randint(20, 600))) for _ in range(100)] + ["".join(rng.choice("0123456789") for _ in range(200)) for _ in range(50)]
+    assert accepted(langid.scores(noise, model, flags)).mean() < 0.05
+
+
+def test_landmarks_are_held_out_with_their_fold(corpus):
+    df, _ = corpus
+    rows = langid.sample(df, 20, "doc_id", "text", "lang")
+    model = langid.train(rows, 6)
+    assert model.min_margin > langid.MIN_MARGIN and set(model.classes) == set(STEMS)
+
+
+def test_blank_texts_take_no_place_in_the_sample(docs):
+    rows = [(i, " " if i < 300 else f"some words {i} of it", "aa") for i in range(310)]
+    assert len(langid.sample(docs(*rows), 5, "doc_id", "text", "lang")) == 5
+
+
+def test_too_many_labels(docs):
+    with pytest.raises(ValueError):
+        langid.identify(docs(*[(i, "t", str(i)) for i in range(langid.MOST_CLASSES + 2)]))

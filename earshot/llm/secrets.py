@@ -9,22 +9,28 @@ import json
 import re
 import struct
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-_CANDIDATE = re.compile(
-    r"-----BEGIN (?P<label>[A-Z0-9 ]{0,40}PRIVATE KEY)-----(?P<body>.*?)-----END (?P=label)-----"
-    r"|(?P<assigned>\b(?:[A-Za-z0-9_\-.]{0,40}?)(?:token|secret|api[_-]?key|access[_-]?key|private[_-]?key|signing[_-]?key|auth|passw(?:or)?d)\b[\"']?\s{0,4}(?::=|=>|=|:)\s{0,4}[\"']?)(?P<value>[A-Za-z0-9+/_\-]{16,}={0,2})(?!\.?[A-Za-z0-9+/_\-])"
-    r"|(?P<run>[A-Za-z0-9+/_\-]{20,}(?:\.[A-Za-z0-9+/_\-]{4,}){0,2}={0,2})",
-    re.DOTALL | re.IGNORECASE,
-)
+_MARK = re.compile(r"-----(?P<kind>BEGIN|END) (?P<label>[A-Z0-9 ]*PRIVATE KEY)-----", re.IGNORECASE)
+#: No quantifier gives back what it took where another could take it, so each character is looked at a bounded number of times.
+_ASSIGNED = re.compile(r"(?:token|secret|api[_-]?key|access[_-]?key|private[_-]?key|signing[_-]?key|auth|passw(?:or)?d)\b[\"']?\s{0,4}(?::=|=>|=|:)\s{0,4}[\"']?([A-Za-z0-9+/_\-]{16,}+={0,2}+)(?!\.?[A-Za-z0-9+/_\-])", re.IGNORECASE)
+_RUN = re.compile(r"[A-Za-z0-9+/_\-]{20,}+(?:\.[A-Za-z0-9+/_\-]*+){0,4}+={0,2}+")
+#: A line of base64 and nothing else; a block of them is a wrapped key if the first is long.
+_LINE = re.compile(r"^[ \t]*([A-Za-z0-9+/_\-]{2,}+={0,2}+)[ \t]*(?:\r?\n|\Z)", re.MULTILINE)
+_LONG_LINE = re.compile(r"^[ \t]*[A-Za-z0-9+/_\-]{40,}+[ \t]*\r?\n", re.MULTILINE)
 #: A text without any of these has no candidate; the scan for it is a fraction of the full one's.
 _HINT = re.compile(r"[A-Za-z0-9+/_\-]{16}|-----BEGIN ")
 _HEX = re.compile(r"(?:[0-9a-f]{2})+|(?:[0-9A-F]{2})+")
+#: The usual lengths of keys. Assigned base64 of another length must also look random by its characters, as names and words decode too.
 KEY_BYTES = frozenset({16, 20, 24, 30, 32, 40, 48, 64})
+#: The longest key that is looked for in a block of wrapped lines which has other lines too: an RSA key of 32,768 bits has 18 KB.
+MOST_WRAPPED = 1 << 15
 _BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
 
@@ -69,6 +75,28 @@ def _children(b: bytes, at: int, end: int) -> list[tuple[int, int, int]] | None:
     return out
 
 
+_RSA = {bytes.fromhex("2a864886f70d010101"), bytes.fromhex("2a864886f70d01010a")}
+_EC, _INTEGER = bytes.fromhex("2a8648ce3d0201"), {bytes.fromhex("2a8648ce380401"), bytes.fromhex("2a864886f70d010301")}
+#: X25519, X448, Ed25519 and Ed448, and the bytes of their keys.
+_EDWARDS = {bytes.fromhex("2b656e"): 32, bytes.fromhex("2b656f"): 56, bytes.fromhex("2b6570"): 32, bytes.fromhex("2b6571"): 57}
+
+
+def _payload(oid: bytes, b: bytes) -> bool:
+    """Whether ``b`` is the key that a PKCS#8 of this algorithm holds; of an unknown algorithm, one whole element with elements in it or an integer or octets."""
+    if oid in _RSA:
+        return der_key(b) == "rsa_private_key"
+    if oid == _EC:
+        return der_key(b) == "ec_private_key"
+    top = _element(b, 0, len(b))
+    if top is None or top[2] != len(b):
+        return False
+    if oid in _EDWARDS:
+        return top[0] == 0x04 and top[2] - top[1] == _EDWARDS[oid]
+    if oid in _INTEGER:
+        return top[0] == 0x02 and top[2] - top[1] >= 16
+    return top[2] - top[1] >= 16 and (top[0] in (0x02, 0x04) or (top[0] == 0x30 and bool(_children(b, *top[1:]))))
+
+
 def der_key(b: bytes) -> str | None:
     """The kind of private key whose DER encoding is exactly ``b``, by nested tags and lengths."""
     top = _element(b, 0, len(b))
@@ -86,7 +114,7 @@ def der_key(b: bytes) -> str | None:
         return "dsa_private_key"
     if len(inner) >= 3 and small(inner[0]) and b[inner[0][1]] in (0, 1) and tags[1] == 0x30 and tags[2] == 0x04:
         algorithm = _children(b, *inner[1][1:])
-        return "pkcs8_private_key" if algorithm and algorithm[0][0] == 0x06 and inner[2][2] > inner[2][1] else None
+        return "pkcs8_private_key" if algorithm and algorithm[0][0] == 0x06 and _payload(b[slice(*algorithm[0][1:])], b[slice(*inner[2][1:])]) else None
     if len(inner) >= 2 and small(inner[0]) and b[inner[0][1]] == 1 and tags[1] == 0x04 and inner[1][2] - inner[1][1] in (20, 24, 28, 32, 48, 66) and set(tags[2:]) <= {0xA0, 0xA1}:
         return "ec_private_key"
     if len(inner) == 2 and tags == [0x30, 0x04]:
@@ -95,50 +123,72 @@ def der_key(b: bytes) -> str | None:
     return None
 
 
-def openssh_key(b: bytes) -> str | None:
-    """The OpenSSH container: magic, cipher, KDF and options, and keys whose lengths add up to the whole."""
-    magic = b"openssh-key-v1\0"
-    if not b.startswith(magic):
-        return None
-    at = len(magic)
-
-    def string() -> bytes | None:
-        nonlocal at
-        if at + 4 > len(b):
-            return None
+def _strings(b: bytes, at: int, most: int | None = None) -> tuple[list[bytes], int]:
+    """Strings with a length before them, as many as follow one another from ``at``, and where they end."""
+    out: list[bytes] = []
+    while (most is None or len(out) < most) and at + 4 <= len(b):
         n = struct.unpack(">I", b[at : at + 4])[0]
         if at + 4 + n > len(b):
-            return None
+            break
         at += 4 + n
-        return b[at - n : at]
+        out.append(b[at - n : at])
+    return out, at
+
+
+def openssh_key(b: bytes) -> str | None:
+    """The OpenSSH container: magic, cipher, KDF and options, and keys whose lengths add up to the whole.
 
-    if any(string() is None for _ in range(3)) or at + 4 > len(b):
+    An open private part has two equal check integers, fields that begin with a type, and padding that counts 1, 2, 3; an
+    encrypted one is a whole number of the cipher's blocks and names its key derivation.
+    """
+    magic = b"openssh-key-v1\0"
+    if not b.startswith(magic):
+        return None
+    head, at = _strings(b, len(magic), 3)
+    if len(head) < 3 or at + 4 > len(b):
         return None
     count = struct.unpack(">I", b[at : at + 4])[0]
-    at += 4
-    if not 1 <= count <= 64 or any(string() is None for _ in range(count + 1)) or at != len(b):
+    if not 1 <= count <= 64:
+        return None
+    keys, at = _strings(b, at + 4, count + 1)
+    if len(keys) < count + 1 or at != len(b) or any(not _strings(k, 0, 1)[0] for k in keys[:-1]):
         return None
-    return "openssh_private_key"
+    inner = keys[-1]
+    if head[0] != b"none":
+        return "openssh_private_key" if head[1] == b"bcrypt" and len(inner) >= 16 and len(inner) % 8 == 0 and len(_strings(head[2], 0, 1)[0]) == 1 else None
+    if head[1] != b"none" or len(inner) < 8 or inner[:4] != inner[4:8] or len(inner) % 8:
+        return None
+    fields, end = _strings(inner, 8)
+    padding = inner[end:]
+    named = _strings(keys[0], 0, 1)[0][0]
+    return "openssh_private_key" if len(fields) >= 3 * count and fields[0] == named and padding == bytes(range(1, len(padding) + 1)) else None
+
+
+def _object(b: bytes) -> dict | None:
+    try:
+        x = json.loads(b)
+    except (ValueError, RecursionError):
+        return None
+    return x if isinstance(x, dict) else None
 
 
 def signed_token(s: str) -> str | None:
-    """A compact JWS: a header object with an algorithm, a payload object, and a signature."""
+    """A compact JWS (a header object with an algorithm, a payload object, and a signature) or JWE (a header with algorithm and encryption, key, nonce, text and tag)."""
     parts = s.split(".")
-    if len(parts) != 3:
+    if len(parts) not in (3, 5) or (decoded := [unbase64(p) for p in parts]).count(None):
         return None
-    decoded = [unbase64(p) for p in parts]
-    if any(d is None for d in decoded) or len(decoded[2]) < 16:
+    header = _object(decoded[0])
+    if header is None or not isinstance(header.get("alg"), str) or header["alg"].lower() == "none":
         return None
-    try:
-        header, payload = json.loads(decoded[0]), json.loads(decoded[1])
-    except ValueError:
-        return None
-    ok = isinstance(header, dict) and isinstance(payload, dict) and isinstance(header.get("alg"), str) and header["alg"].lower() != "none"
-    return "signed_token" if ok else None
+    if len(parts) == 3:
+        return "signed_token" if len(decoded[2]) >= 16 and _object(decoded[1]) is not None else None
+    direct = header["alg"] in ("dir", "ECDH-ES")
+    ok = isinstance(header.get("enc"), str) and (not decoded[1] if direct else len(decoded[1]) >= 16) and 8 <= len(decoded[2]) <= 32 and decoded[3] and len(decoded[4]) >= 16
+    return "encrypted_token" if ok else None
 
 
 def checked_token(s: str) -> str | None:
-    """Tokens whose own layout can be checked: a CRC in base 62 at the end, or an access key id that is base 32."""
+    """Tokens whose own layout can be checked: a CRC in base 62 at the end, or an access key id in base 32 whose account has 12 digits at most."""
     if re.fullmatch(r"gh[pousr]_[A-Za-z0-9]{36}", s):
         crc, digits = zlib.crc32(s[4:34].encode()), ""
         while crc:
@@ -146,7 +196,8 @@ def checked_token(s: str) -> str | None:
             digits = _BASE62[d] + digits
         return "checksummed_token" if digits.rjust(6, "0") == s[34:40] else None
     if re.fullmatch(r"(?:AKIA|ASIA)[A-Z2-7]{16}", s):
-        return "access_key_id"
+        account = (int.from_bytes(base64.b32decode(s[4:])[:6], "big") & 0x7FFFFFFFFF80) >> 7
+        return "access_key_id" if account < 10**12 else None
     return None
 
 
@@ -155,56 +206,121 @@ def _varied(b: bytes) -> bool:
     return len(set(b)) >= min(len(b), 64) * 5 // 8 and sum(32 <= x < 127 for x in b) < 0.9 * len(b)
 
 
-def confirm(label: str | None, body: str | None, value: str | None, run: str | None) -> tuple[str, str, bytes] | None:
-    """Kind, encoding and decoded bytes of a candidate that holds together."""
-    if label is not None:
-        lines = [x for x in body.strip().split("\n") if ":" not in x]
-        b = unbase64("".join("".join(lines).split()))
-        kind = b and (der_key(b) or openssh_key(b))
-        if kind is None or not b:
-            headers = "ENCRYPTED" in body and b and len(b) % 8 == 0 and len(b) >= 64
-            return ("encrypted_private_key", "pem", b) if headers else None
+def _mixed(s: str) -> bool:
+    """Base64 by its characters: upper and lower case and digits or signs, which change about as often as by chance."""
+    plain = [c for c in s.rstrip("=") if c.isalnum()]
+    kind = ["a" if c.islower() else "A" if c.isupper() else "0" for c in plain]
+    return len(set(kind)) == 3 and len(plain) >= 0.8 * len(s.rstrip("=")) and sum(a != b for a, b in zip(kind, kind[1:])) >= 0.42 * (len(kind) - 1)
+
+
+def _block(body: str) -> tuple[str, str, bytes] | None:
+    """What lies between the marks of a PEM block; in JSON and such its line feeds are written as two characters."""
+    body = body.replace("\\r", "").replace("\\n", "\n")
+    b = unbase64("".join("".join(x for x in body.strip().split("\n") if ":" not in x).split()))
+    if not b:
+        return None
+    if kind := der_key(b) or openssh_key(b):
         return kind, "pem", b
+    return ("encrypted_private_key", "pem", b) if "ENCRYPTED" in body and len(b) % 8 == 0 and len(b) >= 64 else None
+
+
+def confirm(value: str | None, run: str | None) -> tuple[str, str, bytes, int] | None:
+    """Kind, encoding, decoded bytes and length of a candidate that holds together."""
     s = value or run
     if kind := checked_token(s):
-        return kind, "token", s.encode()
+        return kind, "token", s.encode(), len(s)
     if run is not None and "." in s:
-        if kind := signed_token(s):
-            return kind, "base64url", s.encode()
-        s = max(s.split("."), key=len)
-    h, b = unhex(s), None
-    for encoding, b in (("hex", h), ("base64", None if h else unbase64(s))):
-        if b and (kind := der_key(b) or openssh_key(b)):
-            return kind, encoding, b
-        if b and value is not None and len(b) in KEY_BYTES and _varied(b):
-            return f"assigned_{encoding}_key", encoding, b
+        parts = s.rstrip(".").split(".")
+        for n in (5, 3):
+            if len(parts) >= n and (kind := signed_token(t := ".".join(parts[:n]))):
+                return kind, "base64url", t.encode(), len(t)
+        s = max(parts, key=len)
+    h = unhex(s)
+    encoding, b = ("hex", h) if h else ("base64", unbase64(s))
+    if b and (kind := der_key(b) or openssh_key(b)):
+        return kind, encoding, b, len(value or run)
+    if b and value is not None and len(b) >= (16 if h else 12) and _varied(b) and (h or len(b) in KEY_BYTES or _mixed(s)):
+        return f"assigned_{encoding}_key", encoding, b, len(s)
     return None
 
 
-def scan(text: str) -> list[tuple[str, str, int, int, str]]:
-    """All confirmed secrets of a text: kind, encoding, start and end (characters), and a digest that doesn't disclose it."""
-    out = []
-    at = 0
-    while m := _CANDIDATE.search(text, at):
-        value, run = m["value"], m["run"]
-        found = confirm(m["label"], m["body"], value, run)
-        if found is None and value is not None and (wider := re.compile(r"[A-Za-z0-9+/_\-.]+={0,2}").match(text, m.start("value"))):
-            found = confirm(None, None, None, wider[0])
-        start, end = (m.span("value") if value is not None else m.span())
-        if found:
-            out.append((found[0], found[1], start, end, hashlib.sha256(found[2]).hexdigest()[:16]))
-        # an unconfirmed block or assignment may still hold a candidate inside
-        at = end if found or run is not None else m.start() + (len("-----BEGIN ") if m["label"] is not None else max(1, m.start("value") - m.start()))
+def _wrapped(text: str) -> list[tuple[tuple[str, str, bytes], int, int]]:
+    """Keys in base64 that is cut in lines without marks around it."""
+    out: list = []
+    lines: list[tuple[int, int]] = []
+
+    def close() -> None:
+        upto = list(accumulate((b - a for a, b in lines), initial=0))
+        i = 0
+        while i + 1 < len(lines):
+            start, end = lines[i]
+            head = unbase64(text[start : start + 24]) if end - start >= 40 else None
+            j = 0
+            if head and head.startswith(b"openssh-key"):
+                j = len(lines)
+            elif head and head[0] == 0x30 and (k := head[1] & 0x7F if head[1] & 0x80 else 0) <= 4 and head[2 + k] in (0x02, 0x30):
+                # the line in which as many characters are reached as the outer length asks for, but for padding
+                size = 2 + k + (int.from_bytes(head[2 : 2 + k], "big") if k else head[1])
+                j = bisect_left(upto, upto[i] + -(-4 * size // 3))
+            found = None
+            if i < j <= len(lines) and (upto[j] - upto[i] <= 2 * MOST_WRAPPED or i == 0):
+                b = unbase64("".join(text[x:y] for x, y in lines[i:j]))
+                found = b and (der_key(b) or openssh_key(b))
+            if found:
+                out.append(((found, "base64", b), start, lines[j - 1][1]))
+                i = j
+            else:
+                i += 1
+
+    if _LONG_LINE.search(text):
+        before = -1
+        for m in _LINE.finditer(text):
+            if m.start() != before:
+                close()
+                lines = []
+            lines.append(m.span(1))
+            before = m.end()
+        close()
     return out
 
 
+def scan(text: str) -> list[tuple[str, str, int, int, str]]:
+    """All confirmed secrets of a text: kind, encoding, start and end (characters), and a digest that doesn't disclose it.
+
+    Marked blocks first, then wrapped lines, then single values in what is left. The time is in proportion to the text.
+    """
+    taken: list[tuple[tuple[str, str, bytes], int, int]] = []
+    if "PRIVATE KEY-----" in text.upper():
+        mark = None
+        for m in _MARK.finditer(text):
+            # a block holds no mark but its end's, so no text is tried twice
+            if m["kind"].upper() == "END" and mark is not None and mark["label"] == m["label"] and (found := _block(text[mark.end() : m.start()])):
+                taken.append((found, mark.start(), m.end()))
+            mark = m if m["kind"].upper() == "BEGIN" else None
+    free = lambda a, b: all(b <= x or a >= y for _, x, y in taken)
+    taken += [w for w in _wrapped(text) if free(*w[1:])]
+    taken.sort(key=lambda x: x[1])
+    for assigned, pattern in ((True, _ASSIGNED), (False, _RUN)):
+        more, n = [], 0
+        for m in pattern.finditer(text):
+            start, s = m.start(int(assigned)), m[int(assigned)]
+            while n < len(taken) and taken[n][2] <= start:
+                n += 1
+            if (n == len(taken) or start + len(s) <= taken[n][1]) and (found := confirm(s, None) if assigned else confirm(None, s)):
+                more.append((found[:3], start, start + found[3]))
+        taken = sorted([*taken, *more], key=lambda x: x[1])
+    return [(kind, encoding, start, end, hashlib.sha256(b).hexdigest()[:16]) for (kind, encoding, b), start, end in taken]
+
+
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The confirmed secrets of all documents: ``id_col``, kind, encoding, start, stop, digest; one row each.
 
-    Candidates are blocks of PEM, values assigned to a name like token or api_key, and long runs of base64 or hex digits.
-    Reported are only those that parse once decoded: DER private keys whose nested lengths add up, OpenSSH containers,
-    signed tokens with a JSON header that names an algorithm, tokens with a right checksum, and assigned values of a key's
-    length whose bytes look random. One pass over the whole texts, no shuffle. start and stop count characters.
+    Candidates are blocks of PEM, lines of wrapped base64, values of 16 characters and more that are assigned to a name like
+    token or api_key, and runs of 20 and more of base64 or hex digits. Reported are only those that parse once decoded: DER
+    private keys whose nested lengths add up, with the key that their algorithm wants inside; OpenSSH containers, with their
+    private part; signed and encrypted tokens with a JSON header that names an algorithm; tokens with a right checksum; and
+    assigned values of any length whose bytes look random. One pass over the whole texts, no shuffle, in time that grows
+    with the text. start and stop count characters.
 
     Null and empty texts hold nothing. Repeated rows are reported each. A null id is kept. Other columns are left out. An
     empty input gives an empty result.

@@ -16,20 +16,25 @@ from earshot.llm.textkit import FOLDED, NOT_WORD, U64, buffers, chunks, mix, rol
 
 SHINGLE, THRESHOLD, RECALL, PERMUTATIONS = 3, 0.7, 0.995, 64
 SMALLEST = 8  # shingles in the windows' finest grain
-_A = mix(np.arange(1, PERMUTATIONS + 1, dtype=U64)) | U64(1)
-_B = mix(np.arange(1001, PERMUTATIONS + 1001, dtype=U64))
+#: Low thresholds and single shingles need more hashes for the recall that is asked for; beyond so many they are refused.
+MOST_PERMUTATIONS = 1000
+_A = mix(np.arange(1, MOST_PERMUTATIONS + 1, dtype=U64)) | U64(1)
+_B = mix(np.arange(1001, MOST_PERMUTATIONS + 1001, dtype=U64))
 
 
 def bands(low: int, window: int, threshold: float, recall: float, permutations: int = PERMUTATIONS) -> tuple[int, int]:
     """Bands and rows for items of at least ``low`` shingles in windows of ``window``: the most selective pair that keeps the recall.
 
     An item of q shingles of which a share t is in a window of w has Jaccard similarity of at least t q / (w + (1 - t) q).
+    Single rows take as many hashes as the recall needs; a recall that MOST_PERMUTATIONS don't give raises ValueError.
     """
     j = threshold * low / (window + (1 - threshold) * low)
     for r in (4, 3, 2):
         if (b := math.ceil(math.log(1 - recall) / math.log(1 - j**r))) * r <= permutations:
             return b, r
-    return min(permutations, math.ceil(math.log(1 - recall) / math.log(1 - j))), 1
+    if (b := math.ceil(math.log(1 - recall) / math.log(1 - j))) > MOST_PERMUTATIONS:
+        raise ValueError(f"a recall of {recall} at a containment of {threshold} takes {b} hashes")
+    return b, 1
 
 
 @dataclass
@@ -50,16 +55,23 @@ class Index:
     shingles: list[np.ndarray]
     partitions: list[Partition]
     threshold: float
+    #: Items of fewer words than a shingle: by their number of words, the sorted hashes and the items that have them.
+    short: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
 
 
-def shingles(column: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Number of each row and the hashes of its runs of ``n`` words, in order; a text of fewer words is one run."""
+def word_rows(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
+    """Number of each row and the hashes of its words, in order."""
     data, at = buffers(column)
     for i, j in chunks(at):
         h, _, _, rows = tokens(data, at[i : j + 1], NOT_WORD, FOLDED)
         for r in range(j - i):
-            words = h[rows[r] : rows[r + 1]]
-            yield i + r, rolling(words, min(n, max(1, len(words))))
+            yield i + r, h[rows[r] : rows[r + 1]]
+
+
+def shingles(column: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Number of each row and the hashes of its runs of ``n`` words, in order; a text of fewer words is one run."""
+    for r, words in word_rows(column):
+        yield r, rolling(words, min(n, max(1, len(words))))
 
 
 def _band_keys(minima: np.ndarray, part: Partition) -> np.ndarray:
@@ -77,12 +89,20 @@ def _permuted(x: np.ndarray, k: int) -> np.ndarray:
 
 
 def index_of(ids: pa.Array, texts: pa.Array, shingle: int, threshold: float, recall: float) -> Index:
-    sets: list[np.ndarray] = [np.unique(x) for _, x in shingles(texts, shingle)]
+    sets: list[np.ndarray] = []
     parts: dict[int, list[int]] = {}
-    for i, x in enumerate(sets):
-        if len(x):
-            size = max(SMALLEST, 1 << (len(x) - 1).bit_length())
-            parts.setdefault(size, []).append(i)
+    few: dict[int, list[int]] = {}
+    for i, words in word_rows(texts):
+        sets.append(np.unique(rolling(words, min(shingle, max(1, len(words))))))
+        if 0 < len(words) < shingle:
+            few.setdefault(len(words), []).append(i)
+        elif len(words):
+            parts.setdefault(max(SMALLEST, 1 << (len(sets[-1]) - 1).bit_length()), []).append(i)
+    short = {}
+    for n, members in few.items():
+        h = np.concatenate([sets[i] for i in members])
+        order = np.argsort(h, kind="stable")
+        short[n] = h[order], np.array(members)[order]
     out = []
     for size, members in sorted(parts.items()):
         low = min(len(sets[i]) for i in members)
@@ -96,13 +116,19 @@ def index_of(ids: pa.Array, texts: pa.Array, shingle: int, threshold: float, rec
         part.sieve = np.zeros(1 << sieve_bits, bool)
         part.sieve[part.keys >> U64(64 - sieve_bits)] = True
         out.append(part)
-    return Index(ids, sets, out, threshold)
+    return Index(ids, sets, out, threshold, short)
 
 
-def _found(x: np.ndarray, index: Index) -> list[tuple[int, int]]:
-    """Items (by number) that the windows of a document's shingles collide with and that it truly holds, with the count of shared shingles."""
+def _found(words: np.ndarray, index: Index, shingle: int) -> list[tuple[int, int]]:
+    """Items (by number) that a document of these words holds, with the count of shared shingles: short ones by their runs of words, others by colliding windows, verified."""
+    out: list[tuple[int, int]] = []
+    for n, (have, owners) in index.short.items():
+        runs = np.unique(rolling(words, n))
+        low, high = np.searchsorted(have, runs, "left"), np.searchsorted(have, runs, "right")
+        out += [(int(i), 1) for a, b in zip(low[low < high], high[low < high]) for i in owners[a:b]]
+    x = rolling(words, shingle)
     if not len(x) or not index.partitions:
-        return []
+        return sorted(out)
     most = max(p.bands * p.rows for p in index.partitions)
     grain = SMALLEST
     cuts = np.arange(0, len(x), grain)
@@ -122,15 +148,14 @@ def _found(x: np.ndarray, index: Index) -> list[tuple[int, int]]:
             for a, b in set(zip(low[low < high].tolist(), high[low < high].tolist())):
                 candidates.update(part.owners[a:b].tolist())
     if not candidates:
-        return []
+        return sorted(out)
     whole = np.unique(x)
-    out = []
     for i in sorted(candidates):
         item = index.shingles[i]
         shared = int((whole[np.minimum(np.searchsorted(whole, item), len(whole) - 1)] == item).sum())
         if shared >= index.threshold * len(item) - 1e-9:
             out.append((i, shared))
-    return out
+    return sorted(out)
 
 
 def _search(source: DataFrame, index: Index, shingle: int, text_col: str, item_type: T.DataType, pass_through: bool) -> DataFrame:
@@ -141,7 +166,7 @@ def _search(source: DataFrame, index: Index, shingle: int, text_col: str, item_t
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have = shared.value
         for batch in batches:
-            found = [(r, *pair) for r, x in shingles(batch.column(text_at), shingle) for pair in _found(x, have)]
+            found = [(r, *pair) for r, words in word_rows(batch.column(text_at)) for pair in _found(words, have, shingle)]
             if pass_through:
                 clean = np.ones(batch.num_rows, bool)
                 clean[[f[0] for f in found]] = False
@@ -176,8 +201,8 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, threshold: float = TH
     ``slice_bytes`` of text, and with more than one slice the documents are searched once for each; nothing is shuffled.
 
     Result: ``id_col``, ``item_col``, shared, item_shingles (distinct shingles), containment, distinct rows. Words are runs of
-    letters and digits, ASCII letters in lower case; an item of fewer words than a shingle is one shingle of all its words
-    and is found only in a document that is as short. Items and texts that are null or without words match nothing. Null ids
+    letters and digits, ASCII letters in lower case; an item of fewer words than a shingle is one shingle of all its words,
+    which every document is searched for exactly, whatever its length. Items and texts that are null or without words match nothing. Null ids
     are kept. Repeated documents or items give the same pair once. Other columns are left out. Empty tables give an empty result.
     """
     source = docs.select(F.col(id_col).alias("_dc_id"), F.col(text_col).alias("_dc_text"))
@@ -202,9 +227,13 @@ def oracle(threshold: float = THRESHOLD, shingle: int = SHINGLE) -> str:
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     words = f"list_filter(regexp_split_to_array(translate(text, '{upper}', '{lower}'), '[\\x00-/:-@\\[-`{{-\\x7F]+'), lambda x: x != '')"
     grams = f"list_distinct(list_transform(range(1, greatest(2, len(w) - {shingle - 2})), lambda i: array_to_string(w[i:i + {shingle - 1}], ' ')))"
+    runs = f"list_distinct(list_transform(range(1, len(w) - {shingle - 2}), lambda i: array_to_string(w[i:i + {shingle - 1}], ' ')))"
+    runs_n = "list_distinct(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' ')))"
     return f"""
 WITH d AS (SELECT doc_id, {words} AS w FROM documents), b AS (SELECT item_id, {words} AS w FROM benchmark),
-ds AS (SELECT DISTINCT doc_id, unnest({grams}) AS s FROM d WHERE len(w) > 0),
+few AS (SELECT DISTINCT len(w) AS n FROM b WHERE len(w) BETWEEN 1 AND {shingle - 1}),
+ds AS (SELECT DISTINCT doc_id, unnest({runs}) AS s FROM d WHERE len(w) >= {shingle} UNION
+  SELECT doc_id, unnest({runs_n}) AS s FROM d, few WHERE len(w) >= n),
 bs AS (SELECT DISTINCT item_id, unnest({grams}) AS s FROM b WHERE len(w) > 0),
 size AS (SELECT item_id, count(*) AS item_shingles FROM bs GROUP BY item_id)
 SELECT doc_id, item_id, count(*) AS shared, item_shingles, round(count(*) / item_shingles, 6) AS containment

@@ -15,10 +15,14 @@ def grams(text, n=3):
     return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
 
 
+def runs(text, most=3):
+    return {g for n in range(1, most + 1) for g in grams(text, n) if len(g) == n}
+
+
 def brute(docs, items, threshold=0.7):
     out = set()
     for d, t in docs:
-        have = grams(t)
+        have = runs(t)
         for i, x in items:
             q = grams(x)
             if q and len(q & have) >= threshold * len(q) - 1e-9:
@@ -81,4 +85,13 @@ def test_bands_keep_the_recall():
         size = max(8, 1 << (low - 1).bit_length())
         b, r = decontaminate.bands(low, 2 * size, 0.7, 0.995)
         j = 0.7 * low / (2 * size + 0.3 * low)
-        assert b * r <= 64 and (1 - (1 - j**r) ** b >= 0.995 or (r == 1 and b == 64))
+        assert 1 - (1 - j**r) ** b >= 0.995 - 1e-12
+    with pytest.raises(ValueError):
+        decontaminate.bands(1, 1000, 0.1, 0.9999)
+
+
+def test_items_of_one_and_two_words_in_long_texts(docs, bench):
+    long = prose(random.Random(4), 2000)
+    rows = [(1, long + " needle " + long), (2, long + " Two, words " + long), (3, "two"), (4, "words two"), (5, "two words")]
+    got = values(decontaminate.contained_items(docs(*rows), bench((1, "needle"), (2, "two words"), (3, "two words"))), "doc_id", "item_id")
+    assert got == [(1, 1), (2, 2), (2, 3), (5, 2), (5, 3)]

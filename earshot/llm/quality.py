@@ -11,14 +11,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from earshot.llm.textkit import EXACT, FOLDED, NOT_WORD, SPACES, U64, buffers, chunks, mix, tokens
+from earshot.llm.textkit import EXACT, FOLDED, NOT_WORD, U64, buffers, chunks, mix, tokens
 
 #: log2 of the number of weights, and the bound of the training sample (rows).
 BITS, SAMPLE = 18, 8000
 #: The least probability of the top grade for selection.
 MIN_TAIL = 0.3
-#: Bytes of a word's beginning that are a feature of their own, so that inflected forms share a weight.
-STEM = 4
+#: Bytes of the runs inside words that are features, and how much harder a weight is held back that few texts inform (RARE of them: twice as hard).
+GRAM, RARE = 4, 20.0
 
 
 @dataclass(frozen=True)
@@ -30,34 +30,42 @@ class OrdinalModel:
     cuts: np.ndarray
 
 
+#: Runs of punctuation are tokens as words are.
+_PUNCTUATION = NOT_WORD & (np.arange(256) > 32) & (np.arange(256) < 127)
+
+
 _LOWER = np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), np.arange(256) + 32, np.arange(256)).astype(U64)
 
 
+def _grams(data: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and hash of each run of GRAM bytes inside a word, ASCII letters in lower case."""
+    low, high = int(part[0]), int(part[-1])
+    a = _LOWER[data[low:high]]
+    if len(a) < GRAM:
+        return np.zeros(0, U64), np.zeros(0, U64)
+    code = np.zeros(len(a) - GRAM + 1, U64)
+    for k in range(GRAM):
+        code |= a[k : k + len(code)] << U64(8 * k)
+    breaks = np.concatenate([[0], np.cumsum(NOT_WORD[data[low:high]])])
+    at = np.flatnonzero(breaks[GRAM:] == breaks[:-GRAM])
+    row = np.searchsorted(part - low, at, "right") - 1
+    inside = at + GRAM <= (part - low)[row + 1]
+    return row[inside].astype(U64), mix(code[at[inside]] | U64(1 << 63))
+
+
 def features(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each chunk of rows, the distinct hashed features of each row, one after another, and where each row's begin (n + 1).
 
-    Features are the presence of each word (letters and digits, lower case) and of its first bytes, of each way that white-space
-    parted tokens end (their last two bytes where these aren't both letters or digits), and of each first byte of a token. They
-    cover the whole text.
+    Features are the presence of each word (a run of letters and digits, ASCII letters in lower case), of each run of
+    punctuation, and of each run of GRAM bytes inside a word, so that inflected forms share weights. They cover the whole text.
     """
     data, at = buffers(column)
     for i, j in chunks(at):
         part = at[i : j + 1]
-        w, begin, end, words = tokens(data, part, NOT_WORD, FOLDED)
-        _, starts, ends, ends_at = tokens(data, part, SPACES, EXACT)
-        word_row = np.repeat(np.arange(j - i), np.diff(words))
-        token_row = np.repeat(np.arange(j - i), np.diff(ends_at))
-        last = data[ends - 1] if len(ends) else np.zeros(0, np.uint8)
-        before = data[np.maximum(ends - 2, starts)] if len(ends) else last
-        odd = NOT_WORD[last]
-        shape = mix(last[odd].astype(U64) << U64(8) | before[odd] | U64(1 << 20)) >> U64(64 - BITS)
-        head = mix(data[starts].astype(U64) // U64(32) | U64(1 << 21)) >> U64(64 - BITS) if len(starts) else np.zeros(0, U64)
-        stem = np.full(len(w), STEM << 56, U64)
-        for k in range(STEM if len(w) else 0):
-            stem |= np.where(begin + k < end, _LOWER[data[np.minimum(begin + k, len(data) - 1)]], U64(0)) << U64(8 * k)
-        row = np.concatenate([word_row, word_row, token_row[odd], token_row]).astype(U64)
-        key = np.concatenate([w >> U64(64 - BITS), mix(stem) >> U64(64 - BITS), shape, head])
-        both = np.unique(row << U64(BITS) | key)
+        (w, _, _, words), (q, _, _, marks) = tokens(data, part, NOT_WORD, FOLDED), tokens(data, part, ~_PUNCTUATION, EXACT)
+        whose, gram = _grams(data, part)
+        row = np.concatenate([*(np.repeat(np.arange(j - i), np.diff(x)).astype(U64) for x in (words, marks)), whose])
+        both = np.unique(row << U64(BITS) | np.concatenate([w, mix(q + U64(1)), gram]) >> U64(64 - BITS))
         yield (both & U64((1 << BITS) - 1)).astype(np.int64), np.searchsorted(both >> U64(BITS), np.arange(j - i + 1, dtype=U64))
 
 
@@ -70,10 +78,10 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def train(texts: pa.Array, grades: np.ndarray, rounds: int = 150, penalty: float = 3e-4, rate: float = 0.15, min_share: float = 2e-3) -> OrdinalModel:
+def train(texts: pa.Array, grades: np.ndarray, rounds: int = 150, penalty: float = 3e-4, rate: float = 0.15) -> OrdinalModel:
     """Maximum likelihood with an L2 penalty by full-batch adaptive gradient steps (Adam); cuts are kept in order by logs of their gaps.
 
-    Features in fewer than ``min_share`` of the rated texts get no weight: they would learn single texts by heart.
+    A feature of df texts is penalised by 1 + RARE / df times as much, lest those of a few texts learn them by heart.
     """
     levels = tuple(int(g) for g in np.unique(grades))
     if len(levels) < 2:
@@ -84,10 +92,7 @@ def train(texts: pa.Array, grades: np.ndarray, rounds: int = 150, penalty: float
         parts.append(ids)
     ids, at = np.concatenate(parts), np.concatenate(at)
     n, row = len(at) - 1, np.repeat(np.arange(len(at) - 1), np.diff(at))
-    enough = np.bincount(ids, minlength=1 << BITS) >= max(2, min_share * n)
-    row, ids = row[enough[ids]], ids[enough[ids]]
-    used, ids = np.unique(ids, return_inverse=True)
-    at = np.searchsorted(row, np.arange(n + 1))
+    used, ids, df = np.unique(ids, return_inverse=True, return_counts=True)
     y = np.searchsorted(levels, grades)
     above = np.array([(y > k).mean() for k in range(len(levels) - 1)])
     start = -np.log(above / (1 - above))
@@ -107,7 +112,7 @@ def train(texts: pa.Array, grades: np.ndarray, rounds: int = 150, penalty: float
         d_cuts = np.zeros(len(cuts))
         for k in range(len(cuts)):
             d_cuts[k] = (-slope[y == k + 1, k + 1] / likely[y == k + 1]).sum() + (slope[y == k, k + 1] / likely[y == k]).sum()
-        g = np.concatenate([np.bincount(ids, d_score[row], minlength=w_n) - penalty * n * w, [d_cuts.sum()], np.cumsum(d_cuts[::-1])[::-1][1:] * gaps]) / n
+        g = np.concatenate([np.bincount(ids, d_score[row], minlength=w_n) - penalty * n * w * (1 + RARE / df), [d_cuts.sum()], np.cumsum(d_cuts[::-1])[::-1][1:] * gaps]) / n
         m, v = 0.9 * m + 0.1 * g, 0.98 * v + 0.02 * g * g
         theta = theta + rate * (1 - 0.9 * step / rounds) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.98**step)) + 1e-6)
         best = theta
@@ -130,9 +135,10 @@ def rating(quality: str = "quality", toxic: str = "toxic") -> Column:
 
 
 def sample(docs: DataFrame, ratings: DataFrame, rows: int, id_col: str, text_col: str) -> tuple[pa.Array, np.ndarray]:
-    """At most ``rows`` rated documents, those of the least hash. ``ratings`` has id and grade; an id's least grade counts."""
-    ids = ratings.where("id is not null and grade is not null").groupBy("id").agg(F.min("grade").cast("int").alias("grade")).orderBy(F.xxhash64("id"), "id").limit(rows)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
+    """At most ``rows`` rated documents with a text, those of the least hash. ``ratings`` has id and grade; an id's least grade counts."""
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null and trim(text) != ''")
+    rated = ratings.where("id is not null and grade is not null").groupBy("id").agg(F.min("grade").cast("int").alias("grade"))
+    ids = rated.join(texts.select("id"), "id", "left_semi").orderBy(F.xxhash64("id"), "id").limit(rows)
     # cut again: an id may have any number of rows
     picked = texts.join(F.broadcast(ids), "id").orderBy(F.xxhash64("id"), "id", F.xxhash64("text")).limit(rows).select("text", "grade").toArrow().combine_chunks()
     text = picked.column("text").combine_chunks()

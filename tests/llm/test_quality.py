@@ -93,3 +93,43 @@ def test_query_has_a_row_for_each_document(spark, sf):
 
     got, docs = queries.op8_quality(spark, sf), spark.read.parquet(f"{sf}/documents.parquet")
     assert values(got, "doc_id") == values(docs, "doc_id") and 0 < got.where("selected").count() < docs.count()
+
+
+def test_fit_against_a_dense_optimiser():
+    """Plain gradient ascent on dense presence vectors comes to the same likelihood and the same predictions."""
+    rows = graded(random.Random(8), 80)
+    texts, y = pa.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+    model = quality.train(texts, y, rounds=800, penalty=3e-3)
+    [(ids, at)] = list(quality.features(texts))
+    used = np.unique(ids)
+    x = np.zeros((len(rows), len(used)))
+    for i in range(len(rows)):
+        x[i, np.searchsorted(used, ids[at[i] : at[i + 1]])] = 1
+    hold = 3e-3 * (1 + quality.RARE / x.sum(axis=0))
+
+    def value(theta):
+        w, cuts = theta[:-2], np.array([theta[-2], theta[-2] + np.exp(theta[-1])])
+        p = np.column_stack([np.ones(len(y)), 1 / (1 + np.exp(cuts[None, :] - (x @ w)[:, None])), np.zeros(len(y))])
+        q = np.maximum(p[np.arange(len(y)), y] - p[np.arange(len(y)), y + 1], 1e-12)
+        slope = p * (1 - p)
+        by_score = (slope[np.arange(len(y)), y] - slope[np.arange(len(y)), y + 1]) / q
+        by_cut = [(np.where(y == k, 1, 0) * slope[:, k + 1] / q - np.where(y == k + 1, 1, 0) * slope[:, k + 1] / q).sum() for k in (0, 1)]
+        grad = np.concatenate([x.T @ by_score / len(y) - hold * w, [sum(by_cut) / len(y), by_cut[1] * np.exp(theta[-1]) / len(y)]])
+        return np.log(q).mean() - (hold * w * w).sum() / 2, grad
+
+    theta, step = np.zeros(len(used) + 2), 1.0
+    v, g = value(theta)
+    for _ in range(4000):
+        while step > 1e-9 and (now := value(theta + step * g))[0] < v:
+            step /= 2
+        theta, (v, g), step = theta + step * g, now, step * 1.3
+    mine = np.concatenate([model.weights[used], [model.cuts[0], np.log(model.cuts[1] - model.cuts[0])]])
+    assert value(mine)[0] > v - 0.01
+    dense, fitted = quality._sigmoid(x @ theta[:-2] - theta[-2]), quality._sigmoid(quality._sums(model.weights, ids, at) - model.cuts[0])
+    assert np.abs(dense - fitted).max() < 0.15
+
+
+def test_blank_texts_take_no_place_in_the_sample(docs, spark):
+    rows = [(i, " " if i < 200 else f"text {i}") for i in range(210)]
+    ratings = spark.createDataFrame([(i, i % 3) for i in range(210)], "id bigint, grade int")
+    assert len(quality.sample(docs(*rows), ratings, 10, "doc_id", "text")[0]) == 10

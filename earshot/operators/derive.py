@@ -43,7 +43,14 @@ def cva(segments: DataFrame, scenario: str = "R", max_interval: int = 5000, keys
     return parts.withColumns({"speaker_class": cls, "cva": value}).drop("_prev", "_next", "_before", "_after")
 
 
-DERIVATIONS: dict[str, Callable[..., DataFrame]] = {"conversations": conversation_ids, "remove-overlaps": remove_overlaps, "cva": cva}
+def acoustics(segments: DataFrame, signal: DataFrame) -> DataFrame:
+    """Pitch and amplitude of each segment, from the samples of its recording."""
+    from earshot.operators.audio import acoustics as measured
+
+    return measured(segments, signal)
+
+
+DERIVATIONS: dict[str, Callable[..., DataFrame]] = {"conversations": conversation_ids, "remove-overlaps": remove_overlaps, "cva": cva, "acoustics": acoustics}
 
 
 def register(name: str, derivation: Callable[..., DataFrame]) -> None:

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 REC = "recording_filename"
 SEGMENT = ("segment_onset", "segment_offset")
 RANGE = ("range_onset", "range_offset")
+#: Characters of a recording's name by which ``collapse`` sums in groups.
+GROUPED = 6
 #: Beyond any recording.
 FAR = 1 << 60
 
@@ -151,14 +153,18 @@ def exclude(sampled: DataFrame, excluded: DataFrame, keys: Sequence[str] = (REC,
 def collapse(segments: DataFrame, index: DataFrame) -> DataFrame:
     """Move segments to one timeline for each set, on which the set's annotated ranges follow on one another without gaps.
 
-    Ranges are in order of recording and onset. Their positions are summed in two steps, recordings first, so that no single
-    task holds all ranges of a set. ``segments`` has set, recording and the range that a segment lies in.
+    Ranges are in order of recording and onset. Their positions are summed in three steps, groups of recordings with the same
+    first GROUPED characters first, so that no single task holds all recordings or ranges of a set. ``segments`` has set, recording and the range that a segment lies in.
     """
     ranges = index.select("set", REC, *RANGE).distinct().withColumn("_len", F.col("range_offset") - F.col("range_onset"))
     total = ranges.groupBy("set", REC).agg(F.sum("_len").alias("_total"))
     earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    of_set = earlier(Window.partitionBy("set").orderBy(REC))
-    starts = total.select("set", REC, F.coalesce(F.sum("_total").over(of_set), F.lit(0)).alias("_start"))
+    # first the totals of groups of recordings with the same beginning of their names, then within each group
+    head = F.substring(REC, 1, GROUPED)
+    of_head = earlier(Window.partitionBy("set").orderBy("_head"))
+    heads = total.groupBy("set", head.alias("_head")).agg(F.sum("_total").alias("_all")).select("set", "_head", F.coalesce(F.sum("_all").over(of_head), F.lit(0)).alias("_before"))
+    in_head = earlier(Window.partitionBy("set", "_head").orderBy(REC))
+    starts = total.withColumn("_head", head).join(heads, ["set", "_head"]).select("set", REC, (F.col("_before") + F.coalesce(F.sum("_total").over(in_head), F.lit(0))).alias("_start"))
     of_rec = earlier(Window.partitionBy("set", REC).orderBy(*RANGE))
     placed = ranges.withColumn("_within", F.coalesce(F.sum("_len").over(of_rec), F.lit(0))).join(starts, ["set", REC])
     at = placed.select("set", REC, *RANGE, (F.col("_start") + F.col("_within")).alias("position"))

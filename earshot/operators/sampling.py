@@ -39,7 +39,7 @@ def periodic(recordings: DataFrame, length: int, period: int, offset: int = 0, b
 def random_vocalizations(segments: DataFrame, n: int, speakers: Sequence[str] | None = None, by: str = REC, seed: int = 0) -> DataFrame:
     """``n`` segments of each unit, drawn without replacement by a seeded hash, so that a recomputed task draws the same."""
     rows = segments if speakers is None else segments.where(F.col("speaker_type").isin(*speakers))
-    key = F.xxhash64(F.lit(seed), REC, *SEGMENT, *(["row_no"] if "row_no" in rows.columns else []))
+    key = F.md5(F.concat_ws("|", F.lit(str(seed)), REC, *[F.col(c).cast("string") for c in (*SEGMENT, *(["row_no"] if "row_no" in rows.columns else []))]))
     return _top(rows, by, n, key, F.col(REC), *map(F.col, SEGMENT)).select(REC, *SEGMENT)
 
 

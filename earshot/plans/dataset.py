@@ -160,11 +160,14 @@ class Dataset:
         """One row for each set that is indexed, from annotations/<set>/metannots.yml, with has_X flags from its columns where the file has none."""
         rows = []
         segments = self.segments()
+        # one scan for all sets; the sets come to the driver, as many as folders are read for them
+        some = [c for c in segments.columns if c != "set"]
+        used = {r["set"]: r for r in segments.groupBy("set").agg(*[F.count(F.when(F.col(f"`{c}`").cast("string") != "NA", 1)).alias(c) for c in some]).collect()}
         for (name,) in self.index().select("set").distinct().collect():
             path = f"annotations/{name}/metannots.yml"
             known = {k: str(v) for k, v in (load_yaml(self.read_text(path)) if self.exists(path) else {}).items()}
-            used = segments.where(F.col("set") == name).agg(*[F.count(F.when(F.col(f"`{c}`").cast("string") != "NA", 1)).alias(c) for c in segments.columns]).first().asDict()
-            rows.append({"set": name, **content_of([c for c, n in used.items() if n]), **known})
+            mine = used[name].asDict() if name in used else {}
+            rows.append({"set": name, **content_of(["set" for _ in mine][:1] + [c for c in some if mine.get(c)]), **known})
         names = sorted({k for r in rows for k in r} - {"set"})
         return self.spark.createDataFrame([tuple(r.get(k) for k in ("set", *names)) for r in rows], ", ".join(f"`{k}` string" for k in ("set", *names)))
 

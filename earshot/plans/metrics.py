@@ -35,13 +35,14 @@ def periods_of(period_ms: int | None, window: tuple[int, int] | None) -> list[tu
     return [(p[0], p[1], *piece) for p in cuts for piece in (circular_intersect(p, window) if window else [p])]
 
 
-def extract(segments: DataFrame, index: DataFrame, recordings: DataFrame, metrics: Sequence[Mapping[str, object]], by: str = REC, *, period_ms: int | None = None, from_time: str | None = None, to_time: str | None = None, units: DataFrame | None = None, children: DataFrame | None = None, rec_cols: Sequence[str] = (), child_cols: Sequence[str] = (), bucket_ms: int | None = None) -> DataFrame:
+def extract(segments: DataFrame, index: DataFrame, recordings: DataFrame, metrics: Sequence[Mapping[str, object]], by: str = REC, *, period_ms: int | None = None, from_time: str | None = None, to_time: str | None = None, units: DataFrame | None = None, children: DataFrame | None = None, rec_cols: Sequence[str] = (), child_cols: Sequence[str] = (), bucket_ms: int | None = DAY) -> DataFrame:
     """One row for each unit (and period) with the annotated ms of each set, duration_<set>, and all ``metrics``.
 
     ``by`` is a column of ``recordings``, or "segments" with ``units`` having recording_filename, segment_onset and
     segment_offset. With ``period_ms`` a unit has one row for each period of the day; from_time and to_time restrict to a
     daily window. Segments are cut to the ranges left. Metrics are null where nothing is annotated. ``rec_cols`` are null
-    unless unique in the unit; ``child_cols`` need ``children``.
+    unless unique in the unit; ``child_cols`` need ``children``. Segments meet ranges by set, recording and ``bucket_ms`` of time
+    (None for the whole recording).
     """
     if by not in UNITS:
         raise ValueError(f"by is one of {UNITS}")

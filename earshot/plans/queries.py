@@ -73,14 +73,8 @@ def segments_by_set(t: Tables) -> DataFrame:
     return t.ann.where("set = 'b' and speaker_type = 'CHI'").select("row_no", REC, *SEGMENT, "speaker_type")
 
 
-@query("SELECT recording_filename, duration, child_id FROM rec WHERE recording_filename IN (SELECT 'rec' || o_custkey FROM orders WHERE o_custkey % 2 = 0)")
+@query("SELECT recording_filename, duration, child_id FROM rec WHERE recording_filename IN (SELECT 'rec' || o_custkey FROM orders)")
 def recordings_whitelist(t: Tables) -> DataFrame:
-    wanted = t.read("orders").where("o_custkey % 2 = 0").select(F.concat(F.lit("rec"), F.col("o_custkey").cast("string")).alias(REC)).distinct()
-    return manage.recordings_from_list(t.rec, wanted.join(t.rec, REC, "left_semi")).select(REC, "duration", "child_id")
-
-
-@query()
-def recordings_whitelist_whole(t: Tables) -> DataFrame:
     wanted = t.read("orders").select(F.concat(F.lit("rec"), F.col("o_custkey").cast("string")).alias(REC)).distinct()
     return manage.recordings_from_list(t.rec, wanted.join(t.rec, REC, "left_semi")).select(REC, "duration", "child_id")
 
@@ -147,7 +141,13 @@ def intersect_two_sets(t: Tables) -> DataFrame:
     return interval.intersect_sets(t.idx, ["a", "b"]).select("set", REC, *RANGE)
 
 
-@query(f"{_I2}, c3 AS (SELECT recording_filename, greatest(x, range_onset) AS x, least(y, range_offset) AS y FROM c2 JOIN idx USING (recording_filename) WHERE set = 'c' AND x < range_offset AND range_onset < y) {_CUT.format(c='c3', sets=','.join(map(repr, 'abc')))}")
+_BY_DAY = f"di AS (SELECT *, unnest(range(range_onset // {DAY}, (range_offset - 1) // {DAY} + 1)) AS day FROM idx)"
+_MEET = "JOIN di b USING (recording_filename, day) WHERE {x} < b.range_offset AND b.range_onset < {y}"
+
+
+@query(f"""{_BY_DAY}, c2 AS (SELECT DISTINCT recording_filename, day, greatest(a.range_onset, b.range_onset) AS x, least(a.range_offset, b.range_offset) AS y FROM di a {_MEET.format(x='a.range_onset', y='a.range_offset')} AND a.set = 'a' AND b.set = 'b'),
+c3 AS (SELECT DISTINCT recording_filename, day, greatest(x, range_onset) AS x, least(y, range_offset) AS y FROM c2 {_MEET.format(x='x', y='y')} AND b.set = 'c')
+SELECT DISTINCT b.set, recording_filename, greatest(range_onset, x) AS range_onset, least(range_offset, y) AS range_offset FROM c3 {_MEET.format(x='x', y='y')} AND b.set IN ('a', 'b', 'c')""")
 def intersect_three_sets(t: Tables) -> DataFrame:
     return interval.intersect_sets(t.idx, ["a", "b", "c"], bucket_ms=DAY).select("set", REC, *RANGE)
 
@@ -606,7 +606,7 @@ def energy_quantile(t: Tables) -> DataFrame:
     return sampling.above_quantile(t.seg.select("row_no", REC, (F.col("words") + F.col("phonemes") / 100).alias("energy")), 0.8)
 
 
-@query()
+@query("SELECT recording_filename, segment_onset, segment_offset FROM (SELECT *, row_number() OVER (PARTITION BY recording_filename ORDER BY md5('7|' || recording_filename || '|' || segment_onset || '|' || segment_offset || '|' || row_no), segment_onset, segment_offset) AS nth FROM seg WHERE speaker_type IN ('CHI', 'OCH')) WHERE nth <= 5")
 def random_vocalizations(t: Tables) -> DataFrame:
     return sampling.random_vocalizations(t.seg, 5, ("CHI", "OCH"), seed=7)
 
@@ -616,37 +616,37 @@ def chunk_padding(t: Tables) -> DataFrame:
     return sampling.chunks(t.seg, 500_000).select("row_no", "onset", "offset")
 
 
-# reliability: annotators a and b label the same two days of each recording, or, in the queries named _whole, all of it
+# reliability: annotators a and b label each recording from end to end; the SQL lays all frames out, as the engine does not
 
 _CATS = ("CHI", "FEM", "MAL", "OCH")
 _FRAME = 60_000
 _GRID = f"""src AS (SELECT 'a' AS coder, recording_filename, segment_onset, segment_offset, speaker_type FROM seg UNION ALL SELECT 'b', recording_filename, segment_onset + 30000, segment_offset, CASE WHEN row_no % 5 = 0 THEN 'FEM' ELSE speaker_type END FROM seg),
-fr AS (SELECT DISTINCT coder, recording_filename, unnest(range(greatest((segment_onset - {DAY}) // {_FRAME}, 0), least((segment_offset - {DAY}) // {_FRAME}, 2880))) AS frame, speaker_type AS category FROM src WHERE speaker_type != 'NA' AND segment_offset > {DAY} AND segment_onset < {3 * DAY}),
-ev AS (SELECT coder, recording_filename, unnest(range(0, 2880)) AS frame FROM (VALUES ('a'), ('b')) c(coder), rec),
-grid AS (SELECT * FROM fr UNION ALL SELECT coder, recording_filename, frame, 'none' FROM (SELECT * FROM ev EXCEPT SELECT coder, recording_filename, frame FROM fr)),
+len AS (SELECT recording_filename, ceil(duration / {_FRAME}.0)::BIGINT AS frames FROM rec),
+fr AS (SELECT DISTINCT coder, recording_filename, unnest(range(segment_onset // {_FRAME}, least(segment_offset // {_FRAME}, frames))) AS frame, speaker_type AS category FROM src JOIN len USING (recording_filename) WHERE speaker_type != 'NA'),
+ev AS (SELECT coder, recording_filename, unnest(range(0, frames)) AS frame FROM (VALUES ('a'), ('b')) c(coder), len),
+grid AS (SELECT * FROM fr UNION ALL SELECT coder, recording_filename, frame, 'none' FROM (SELECT * FROM ev ANTI JOIN fr USING (coder, recording_filename, frame))),
 lab AS (SELECT coder, recording_filename, frame, coalesce(arg_max(category, list_position(['CHI','FEM','MAL','OCH','none'], category)), 'none') AS label FROM grid GROUP BY ALL)"""
 
 
-def _grid(t: Tables, whole: bool = False) -> DataFrame:
+def _grid(t: Tables) -> DataFrame:
     b = t.seg.withColumns({"segment_onset": F.col("segment_onset") + 30_000, "speaker_type": F.when(F.col("row_no") % 5 == 0, "FEM").otherwise(F.col("speaker_type"))})
     both = t.seg.withColumn("set", F.lit("a")).unionByName(b.withColumn("set", F.lit("b")))
-    begin, end = (F.lit(0), F.col("duration")) if whole else (F.lit(DAY), F.lit(3 * DAY))
-    ranges = t.rec.select(REC, begin.cast("bigint").alias("range_onset"), end.cast("bigint").alias("range_offset"))
-    return reliability.frames(both, ranges, _FRAME, _CATS)
+    ranges = t.rec.select(REC, F.lit(0).cast("bigint").alias("range_onset"), F.col("duration").cast("bigint").alias("range_offset"))
+    return reliability.frames(both, ranges, _FRAME, _CATS, coders=("a", "b"))
 
 
-def _labels(t: Tables, whole: bool = False) -> DataFrame:
-    return reliability.labels(_grid(t, whole), (*_CATS, "none"))
+def _labels(t: Tables) -> DataFrame:
+    return reliability.labels(_grid(t), (*_CATS, "none"))
 
 
 @query(f"{_GRID} SELECT recording_filename, coder, category, count(*) AS frames FROM grid GROUP BY ALL")
 def frame_grid(t: Tables) -> DataFrame:
-    return _grid(t).groupBy(REC, "coder", "category").agg(F.count("*").alias("frames"))
+    return _grid(t).groupBy(REC, "coder", "category").agg(F.sum("n").alias("frames"))
 
 
 @query(f"{_GRID} SELECT recording_filename, coder, label, count(*) AS frames FROM lab GROUP BY ALL")
 def frame_labels(t: Tables) -> DataFrame:
-    return _labels(t).groupBy(REC, "coder", "label").agg(F.count("*").alias("frames"))
+    return _labels(t).groupBy(REC, "coder", "label").agg(F.sum("n").alias("frames"))
 
 
 @query(f"{_GRID} SELECT a.category AS category_1, b.category AS category_2, count(*) AS n FROM grid a JOIN grid b USING (recording_filename, frame) WHERE a.coder = 'a' AND b.coder = 'b' GROUP BY ALL")
@@ -669,36 +669,6 @@ def error_rates(t: Tables) -> DataFrame:
     return reliability.error_rates(_grid(t), "a", "b")
 
 
-@query()
-def frame_grid_whole(t: Tables) -> DataFrame:
-    return _grid(t, True).groupBy(REC, "coder", "category").agg(F.count("*").alias("frames"))
-
-
-@query()
-def frame_labels_whole(t: Tables) -> DataFrame:
-    return _labels(t, True).groupBy(REC, "coder", "label").agg(F.count("*").alias("frames"))
-
-
-@query()
-def confusion_matrix_whole(t: Tables) -> DataFrame:
-    return reliability.confusion(_grid(t, True), "a", "b")
-
-
-@query()
-def krippendorff_alpha_whole(t: Tables) -> DataFrame:
-    return reliability.krippendorff_alpha(_labels(t, True))
-
-
-@query()
-def multi_kappa_whole(t: Tables) -> DataFrame:
-    return reliability.multi_kappa(_labels(t, True), ["a", "b"])
-
-
-@query()
-def error_rates_whole(t: Tables) -> DataFrame:
-    return reliability.error_rates(_grid(t, True), "a", "b")
-
-
 # validation and management
 
 
@@ -803,15 +773,8 @@ def dialogue_turns(t: Tables) -> DataFrame:
     return rows.groupBy("conv_id").agg(F.count("*").alias("turns"), F.count(F.when(F.col("s"), 1)).alias("switches"), F.min_by("role", "turn").alias("initiator"), F.max_by("role", "turn").alias("finisher"))
 
 
-@query("SELECT recording_filename, code_num, code_onset, code_offset, greatest(code_onset - 60000, 0) AS context_onset, code_offset + 60000 AS context_offset FROM (SELECT recording_filename, row_number() OVER (PARTITION BY recording_filename ORDER BY segment_onset, segment_offset) AS code_num, segment_onset AS code_onset, segment_offset AS code_offset FROM (SELECT DISTINCT recording_filename, segment_onset, segment_offset FROM seg WHERE speaker_type = 'MAL'))")
+@query("SELECT recording_filename, code_num, code_onset, code_offset, greatest(code_onset - 60000, 0) AS context_onset, code_offset + 60000 AS context_offset FROM (SELECT recording_filename, row_number() OVER (PARTITION BY recording_filename ORDER BY segment_onset, segment_offset) AS code_num, segment_onset AS code_onset, segment_offset AS code_offset FROM (SELECT DISTINCT recording_filename, segment_onset, segment_offset FROM seg))")
 def annotation_templates(t: Tables) -> DataFrame:
     from earshot.sources.tables import eaf_templates
 
-    return eaf_templates(t.seg.where("speaker_type = 'MAL'").select(REC, *SEGMENT).distinct(), 60_000).withColumn("code_num", F.col("code_num").cast("bigint"))
-
-
-@query()
-def annotation_templates_whole(t: Tables) -> DataFrame:
-    from earshot.sources.tables import eaf_templates
-
     return eaf_templates(t.seg.select(REC, *SEGMENT).distinct(), 60_000).withColumn("code_num", F.col("code_num").cast("bigint"))

@@ -42,7 +42,7 @@ class Rule:
                 ok = ok | F.try_to_timestamp(text, F.lit(f)).isNotNull()
             return ok
         if self.regex:
-            return text.rlike(f"^(?:{self.regex})$")
+            return text.rlike(rf"^(?:{self.regex})\z")
         return None
 
 
@@ -51,7 +51,7 @@ def struct(rules: tuple[Rule, ...]) -> T.StructType:
 
 
 LONG, DOUBLE = T.LongType(), T.DoubleType()
-_counting = lambda c: c.cast("string").rlike(r"^\d+(\.0*)?$")
+_counting = lambda c: c.cast("string").rlike(r"^\d+(\.0*)?\z")
 
 CHILDREN = (
     Rule("experiment", True, regex=r"\S[\s\S]*"),

@@ -56,7 +56,8 @@ def speaker_type(column: str = "speaker_id") -> Column:
 
 
 def _file() -> Column:
-    return F.element_at(F.split(F.input_file_name(), "/"), -1)
+    """The file's own name: Spark gives it as part of a URI, in which all but a plus is encoded."""
+    return F.url_decode(F.replace(F.element_at(F.split(F.input_file_name(), "/"), -1), F.lit("+"), F.lit("%2B")))
 
 
 @register("csv")

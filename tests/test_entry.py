@@ -37,10 +37,10 @@ def test_templates_and_whitelist_of_whole_tables(spark):
     from earshot.plans import adapter
 
     seg = {tuple(r) for r in adapter.segments(spark, str(SF)).select("recording_filename", "segment_onset", "segment_offset").collect()}
-    got = values(QUERIES["annotation_templates_whole"](spark, str(SF)), "recording_filename", "code_onset", "code_offset")
+    got = values(QUERIES["annotation_templates"](spark, str(SF)), "recording_filename", "code_onset", "code_offset")
     assert len(got) == len(seg) and set(got) == seg
     ordered = {f"rec{r[0]}" for r in spark.read.parquet(f"{SF}/orders.parquet").select("o_custkey").collect()}
-    assert values(QUERIES["recordings_whitelist_whole"](spark, str(SF)), "recording_filename") == sorted((r,) for r in ordered & {s[0] for s in seg})
+    assert values(QUERIES["recordings_whitelist"](spark, str(SF)), "recording_filename") == sorted((r,) for r in ordered & {s[0] for s in seg})
 
 
 def test_entry_works_without_the_optional_parts(tmp_path):

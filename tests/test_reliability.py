@@ -25,18 +25,20 @@ def grid_rows(frame):
 def test_frames_and_labels(frame, grid_rows):
     grid = reliability.frames(grid_rows, ranges(frame, 0, 10), 1, ["CHI", "FEM"], overlap=True)
     active = {}
-    for f, c in values(grid, "frame", "category"):
+    for f, c in values(reliability.each_frame(grid), "frame", "category"):
         active.setdefault(f, set()).add(c)
     assert active == {0: {"CHI"}, 1: {"CHI"}, 2: {"FEM"}, 3: {"FEM"}, 4: {"none"}, 5: {"none"}, 6: {"CHI", "FEM", "overlap"}, 7: {"CHI", "FEM", "overlap"}, 8: {"FEM"}, 9: {"none"}}
-    got = [r[1] for r in values(reliability.labels(grid, ["CHI", "FEM", "overlap", "none"]), "frame", "label")]
+    got = [r[1] for r in values(reliability.each_frame(reliability.labels(grid, ["CHI", "FEM", "overlap", "none"])), "frame", "label")]
     assert got == ["CHI", "CHI", "FEM", "FEM", "none", "none", "overlap", "overlap", "FEM", "none"]
-    bare = reliability.frames(grid_rows, ranges(frame, 0, 10), 1, ["CHI", "FEM"], none=False)
-    assert values(reliability.labels(bare, ["CHI", "FEM"], ranges(frame, 0, 10), 1).where("frame = 4"), "label") == [("FEM",)]
+    rest = reliability.each_frame(reliability.labels(grid, ["CHI", "FEM"], rest=True))
+    assert values(rest.where("frame = 4"), "label") == [("FEM",)] and rest.count() == 10
+    assert values(reliability.segments_of(grid, 10).where("category = 'FEM'"), *reliability.SEGMENT) == [(20, 40), (60, 90)]
+    assert reliability.frames(grid_rows.where("false"), ranges(frame, 0, 10), 1, ["CHI"]).count() == 0
 
 
 def test_frames_stay_in_the_range(frame):
     seg = frame(SEG, ("a", "x", -50, 25, "CHI"), ("a", "x", 25, 29, "FEM"), ("a", "x", 95, 300, "FEM"))
-    grid = reliability.frames(seg, ranges(frame, 0, 100), 10, ["CHI", "FEM"], none=False)
+    grid = reliability.each_frame(reliability.frames(seg, ranges(frame, 0, 100), 10, ["CHI", "FEM"], none=False))
     assert values(grid, "frame", "category") == [(0, "CHI"), (1, "CHI"), (9, "FEM")]
 
 
@@ -68,7 +70,7 @@ def test_kappa_of_two(frame):
 
 
 def test_whole_recordings_by_brute_force(spark, tmp_path):
-    """Segments before the second and after the third day count in the queries over whole recordings."""
+    """All days count, and what is counted by runs is what a grid of frames gives."""
     rng, kinds = random.Random(4), {"click": "CHI", "view": "FEM", "purchase": "MAL", "signup": "OCH", "error": "NA"}
     begin, day = datetime(2024, 1, 1), 1440
     rows = [(i, i % 2, begin + timedelta(minutes=rng.randrange(5 * day)), rng.choice([*kinds]), float(rng.randrange(1, 40))) for i in range(60)]
@@ -86,17 +88,17 @@ def test_whole_recordings_by_brute_force(spark, tmp_path):
     active = {k: v or {"none"} for k, v in grid.items()}
     label = {k: max(v, key=order.index) for k, v in active.items()}
     run = lambda name: values(QUERIES[name](spark, str(tmp_path)))
-    assert run("frame_grid_whole") == sorted((r, c, x, n) for (r, c, x), n in Counter((r, c, x) for (r, c, _), v in active.items() for x in v).items())
-    assert run("frame_labels_whole") == sorted((r, c, x, n) for (r, c, x), n in Counter((r, c, x) for (r, c, _), x in label.items()).items())
+    assert run("frame_grid") == sorted((r, c, x, n) for (r, c, x), n in Counter((r, c, x) for (r, c, _), v in active.items() for x in v).items())
+    assert run("frame_labels") == sorted((r, c, x, n) for (r, c, x), n in Counter((r, c, x) for (r, c, _), x in label.items()).items())
     at = [(r, f) for r, c, f in active if c == "a"]
-    assert run("confusion_matrix_whole") == sorted((x, y, n) for (x, y), n in Counter((x, y) for r, f in at for x in active[r, "a", f] for y in active[r, "b", f]).items())
+    assert run("confusion_matrix") == sorted((x, y, n) for (x, y), n in Counter((x, y) for r, f in at for x in active[r, "a", f] for y in active[r, "b", f]).items())
     n, counts = len(at), Counter(label.values())
     observed = sum(label[r, "a", f] != label[r, "b", f] for r, f in at) / n
     expected = (4 * n * n - sum(c * c for c in counts.values())) / (2 * n * (2 * n - 1))
-    assert run("krippendorff_alpha_whole")[0] == pytest.approx((1 - observed / expected, 2 * n, observed, expected), abs=1e-6)
+    assert run("krippendorff_alpha")[0] == pytest.approx((1 - observed / expected, 2 * n, observed, expected), abs=1e-6)
     one, two = (Counter(x for (_, c, _), x in label.items() if c == who) for who in "ab")
     chance = sum(one[x] * two[x] for x in order) / n / n
-    assert run("multi_kappa_whole")[0] == pytest.approx((1 - observed / (1 - chance), 1 - observed, chance), abs=1e-6)
+    assert run("multi_kappa")[0] == pytest.approx((1 - observed / (1 - chance), 1 - observed, chance), abs=1e-6)
     pairs = [(grid[r, "a", f], grid[r, "b", f]) for r, f in at]
     reference, missed, alarm, confused = (sum(x) for x in zip(*((len(r), max(len(r) - len(h), 0), max(len(h) - len(r), 0), min(len(r), len(h)) - len(r & h)) for r, h in pairs)))
-    assert run("error_rates_whole")[0] == pytest.approx((reference, missed, alarm, confused, (missed + alarm) / reference, (missed + alarm + confused) / reference), abs=1e-6)
+    assert run("error_rates")[0] == pytest.approx((reference, missed, alarm, confused, (missed + alarm) / reference, (missed + alarm + confused) / reference), abs=1e-6)

@@ -6,18 +6,19 @@ import argparse
 import datetime
 import sys
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from earshot import __version__
 from earshot.functions.metrics import aclew_bundle, lena_bundle
-from earshot.operators import conversations, interval, sampling
+from earshot.operators import audio, conversations, interval, sampling
 from earshot.operators.interval import REC
 from earshot.plans import manage
 from earshot.plans.dataset import Dataset, dump_yaml, load_yaml
 from earshot.plans.metrics import extract_spec
 from earshot.session import session
-from earshot.sources.tables import read_table
+from earshot.sources.audio import read_wav, write_wav
+from earshot.sources.tables import eaf_documents, eaf_templates, read_table
 
 
 def parser() -> argparse.ArgumentParser:
@@ -49,7 +50,14 @@ def parser() -> argparse.ArgumentParser:
     add("rename-annotations", "rename a set", "old", "new")
     add("metrics", "metrics by a specification in YAML or JSON, or by a bundle", "output", spec="", lena="", aclew="", alice="", vcm="", by=REC)
     add("conversations", "summaries of the conversations of a set", "set", "output", spec="")
-    add("sample", "periodic, random, words, turns, vocs or conversations", "sampler", "output", set="", length=60_000, period=3_600_000, offset=0, count=10, by=REC, seed=0)
+    add("sample", "periodic, random, words, turns, vocs, conversations, energy or custom", "sampler", "output", set="", length=60_000, period=3_600_000, offset=0, count=10, by=REC, seed=0, threshold="0.8", low="", high="", table="", exclude="")
+    add("rename-recording", "rename a recording everywhere", "old", "new")
+    add("compute-durations", "durations of the recordings from their WAV files", overwrite=False)
+    add("compare-recordings", "the mean difference of two recordings' samples", "first", "second")
+    add("process", "vet or channels: write changed recordings to a folder", "processor", "output", ranges="", matrix="")
+    add("anonymize", "LENA files of a set with other values of attributes", "input_set", "output_set", replacements="")
+    add("eaf-builder", "ELAN templates for sampled ranges", "segments", "output", context=0, speakers="CHI,FA1,MA1", speech="")
+    add("remove-file", "remove one annotation file", "set", "annotation_filename")
     return top
 
 
@@ -66,6 +74,11 @@ def parameters_of(data: Dataset, path: str) -> dict:
     return found.get("parameters", found)
 
 
+def ranged(spark: SparkSession, path: str, cols: tuple[str, str]) -> DataFrame:
+    """Recordings and ranges from CSV."""
+    return read_table(spark, path).select(REC, *[F.col(c).cast("bigint").alias(c) for c in cols])
+
+
 def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
     spark = session("earshot " + a.command)
@@ -112,14 +125,51 @@ def main(argv: list[str] | None = None) -> int:
         spec = parameters_of(data, a.spec) if a.spec else {"features": conversations.STANDARD}
         rows = data.annotated([a.set])
         write(conversations.summarise(rows if "conv_count" in rows.columns else conversations.conversation_ids(rows), spec["features"]), a.output, spec)
+    elif a.command == "rename-recording":
+        data.rename_recording(a.old, a.new)
+    elif a.command == "compute-durations":
+        data.compute_durations(a.overwrite)
+    elif a.command == "remove-file":
+        data.remove_files(data.index().where((F.col("set") == a.set) & (F.col("annotation_filename") == a.annotation_filename)))
+    elif a.command == "compare-recordings":
+        audio.compare(read_wav(spark, [f"{data.root}/recordings/{x}" for x in (a.first, a.second)]), a.first, a.second).show(truncate=False)
+    elif a.command == "process":
+        signal = read_wav(spark, f"{data.root}/recordings/*")
+        if a.processor == "vet":
+            done = audio.vet(signal, ranged(spark, a.ranges, interval.RANGE))
+        elif a.processor == "channels":
+            done = audio.map_channels(signal, [[float(x) for x in row.split(",")] for row in a.matrix.split(";")])
+        else:
+            raise SystemExit(f"unknown processor {a.processor}")
+        write_wav(done, a.output).count()
+    elif a.command == "anonymize":
+        pairs = {tuple(k.split(".", 1)): v for k, v in parameters_of(data, a.replacements).items()}
+        for name in (n for n in data._listed(f"annotations/{a.input_set}/raw") if n.endswith(".its")):
+            lines = manage.anonymise(spark.read.text(f"{data.root}/annotations/{a.input_set}/raw/{name}", wholetext=True), pairs)
+            data.write_text(f"annotations/{a.output_set}/raw/{name}", lines.first()[0])
+    elif a.command == "eaf-builder":
+        spans = eaf_templates(ranged(spark, a.segments, interval.SEGMENT).distinct(), a.context)
+        speech = data.annotated([a.speech]) if a.speech else None
+        documents = eaf_documents(spans, names(a.speakers), speech if speech is None or "transcription" in speech.columns else speech.withColumn("transcription", F.lit("")))
+        out = Dataset(spark, a.output)
+        for r in documents.toLocalIterator():
+            out.write_text(f"{r[REC].rsplit('.', 1)[0]}.eaf", r["document"])
     elif a.command == "sample":
         rec = data.tables()["recordings"]
-        if a.sampler == "periodic":
+        if a.sampler == "custom":
+            found = ranged(spark, a.table, interval.SEGMENT)
+        elif a.sampler == "energy":
+            signal = audio.whole(read_wav(spark, f"{data.root}/recordings/*"))
+            rate = signal.select("rate").first()["rate"]
+            number = lambda x: float(x) if x else None
+            windows = sampling.window_energy(signal, rate, a.length, a.period, a.offset, number(a.low), number(a.high))
+            found = sampling.energy_detection(windows, a.count, float(a.threshold), seed=a.seed).select(REC, *interval.SEGMENT)
+        elif a.sampler == "periodic":
             found = sampling.periodic(rec.withColumn("start_ts", F.unix_millis(F.try_to_timestamp(F.concat_ws(" ", "date_iso", "start_time"), F.lit("yyyy-MM-dd H:mm")))), a.length, a.period, a.offset, a.by)
         else:
             rows = data.annotated([a.set]) if a.by == REC else data.annotated([a.set]).join(rec.select(REC, a.by), REC)
             found = sampling.random_vocalizations(rows, a.count, None, a.by, a.seed) if a.sampler == "random" else sampling.top_conversations(rows, a.count, by=a.by) if a.sampler == "conversations" else sampling.high_volubility(rows, a.sampler, a.length, a.count, by=a.by)
-        write(found, a.output, vars(a))
+        write(interval.exclude(found, ranged(spark, a.exclude, interval.SEGMENT)) if a.exclude else found, a.output, vars(a))
     return 0
 
 

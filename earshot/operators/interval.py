@@ -6,6 +6,7 @@ dropped where they would have no part in the result.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 from functools import reduce
 
@@ -77,13 +78,16 @@ def intersect_sets(index: DataFrame, sets: Sequence[str], bucket_ms: int | None
 def within_ranges(index: DataFrame, ranges: DataFrame, sets: Sequence[str] | None = None, missing_data: str = "ignore", bucket_ms: int | None = None) -> DataFrame:
     """Index rows cut to the wanted ranges of their recordings.
 
-    missing_data: "ignore", or "raise" if a set covers less of a recording than is wanted; ``coverage`` gives the figures.
+    missing_data: "ignore", or "warn" or "raise" if a set covers less of a recording than is wanted; ``coverage`` gives the figures.
     """
-    if missing_data not in ("ignore", "raise"):
-        raise ValueError("missing_data is ignore or raise")
+    if missing_data not in ("ignore", "warn", "raise"):
+        raise ValueError("missing_data is ignore, warn or raise")
     rows = index if sets is None else index.where(F.col("set").isin(*sets))
-    if missing_data == "raise" and (bad := coverage(rows, ranges).where("covered < requested").first()) is not None:
-        raise ValueError(f"annotations from set '{bad['set']}' do not cover recording '{bad[REC]}': covered {bad['covered'] / 1000:.3f} s of {bad['requested'] / 1000:.3f} s")
+    if missing_data != "ignore" and (bad := coverage(rows, ranges).where("covered < requested").first()) is not None:
+        text = f"annotations from set '{bad['set']}' do not cover recording '{bad[REC]}': covered {bad['covered'] / 1000:.3f} s of {bad['requested'] / 1000:.3f} s"
+        if missing_data == "raise":
+            raise ValueError(text)
+        warnings.warn(text, stacklevel=2)
     return cut_to(rows, ranges, bucket_ms=bucket_ms)
 
 

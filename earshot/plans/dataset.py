@@ -16,6 +16,7 @@ from earshot.operators.interval import RANGE, REC
 from earshot.plans import manage
 from earshot.schema import CHILDREN, INDEX, RECORDINGS, SEGMENTS, content_of
 from earshot.sources import formats
+from earshot.sources.audio import durations
 from earshot.sources.tables import read_dataset, read_table
 
 
@@ -152,6 +153,64 @@ class Dataset:
     def remove_set(self, name: str) -> None:
         self._store(manage.remove_set(self.index(), name), manage.remove_set(self.segments(), name))
 
+    def remove_files(self, rows: DataFrame) -> None:
+        """Remove single annotation files: ``rows`` has set and annotation_filename. One file is added by an import of one row."""
+        keys = ["set", "annotation_filename"]
+        gone = rows.select(*keys).distinct()
+        self._store(self.index().join(gone, keys, "left_anti"), self.segments().join(gone, keys, "left_anti"))
+
+    def set_of(self, path: str) -> str:
+        """The set that a file below annotations/ belongs to: the folders before raw/ or converted/."""
+        inside = path.removeprefix(self.root).strip("/").removeprefix("annotations/").split("/")
+        ends = [i for i, x in enumerate(inside) if x in ("raw", "converted", "extra")]
+        return "/".join(inside[: ends[0] if ends else -1])
+
+    def subsets(self, name: str) -> list[str]:
+        """The sets of the index that lie below a set."""
+        return sorted(r["set"] for r in self.index().where(F.col("set").startswith(f"{name}/")).select("set").distinct().collect())
+
+    def _rewrite_recordings(self, change: Callable[[DataFrame], DataFrame]) -> None:
+        """Metadata are small: one CSV file, written whole."""
+        path = "metadata/recordings.csv"
+        rows = change(read_table(self.spark, f"{self.root}/{path}")).toPandas()
+        self.write_text(path, rows.to_csv(index=False))
+
+    def rename_recording(self, old: str, new: str) -> None:
+        """In the metadata, the index and the segments. The new name may not be in use."""
+        have = self.tables()["recordings"].select(REC)
+        if have.where(F.col(REC) == old).isEmpty() or not have.where(F.col(REC) == new).isEmpty():
+            raise ValueError(f"there is no recording {old}, or there is a recording {new}")
+        index, segments = manage.rename_recording([self.index(), self.segments()], old, new)
+        self._store(index, segments)
+        self._rewrite_recordings(lambda df: manage.rename_recording([df], old, new)[0])
+
+    def compute_durations(self, overwrite: bool = False) -> None:
+        """duration of each recording in ms from its WAV file below recordings/; a known one stays unless ``overwrite``."""
+        found = durations(self.spark, f"{self.root}/recordings/*").select(REC, F.col("duration").cast("string").alias("_found"))
+
+        def change(df: DataFrame) -> DataFrame:
+            df = df if "duration" in df.columns else df.withColumn("duration", F.lit(None).cast("string"))
+            first, second = ("_found", "duration") if overwrite else ("duration", "_found")
+            return df.join(found, REC, "left").withColumn("duration", F.coalesce(first, second)).select(*df.columns)
+
+        self._rewrite_recordings(change)
+
+    def unindexed_files(self) -> DataFrame:
+        """Files of recordings/ that no recording names, and recordings without a file: path and problem."""
+        files = [(p, "not indexed") for p in self._listed("recordings")]
+        on_disk = self.spark.createDataFrame(files, f"{REC} string, problem string")
+        named = self.tables()["recordings"].select(REC)
+        return on_disk.join(named, REC, "left_anti").unionByName(named.join(on_disk, REC, "left_anti").withColumn("problem", F.lit("missing file")))
+
+    def _listed(self, folder: str) -> list[str]:
+        out, path = [], self._path(f"{self.root}/{folder}")
+        if self._fs.exists(path):
+            it = self._fs.listFiles(path, True)
+            base = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).getPath().toString().rstrip("/")
+            while it.hasNext():
+                out.append(it.next().getPath().toString()[len(base) + 1 :])
+        return out
+
     def rename_set(self, old: str, new: str) -> None:
         index = manage.rename_set(self.index(), old, new)
         self._store(index, self.segments().withColumn("set", F.when(F.col("set") == old, new).otherwise(F.col("set"))))

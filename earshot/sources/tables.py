@@ -79,3 +79,63 @@ def eaf_templates(samples: DataFrame, context_ms: int = 0) -> DataFrame:
     """For each sampled range the code and context spans of an annotation template, numbered within the recording."""
     nth = F.row_number().over(Window.partitionBy(REC).orderBy(*SEGMENT))
     return samples.select(REC, nth.alias("code_num"), F.col("segment_onset").alias("code_onset"), F.col("segment_offset").alias("code_offset"), F.greatest(F.col("segment_onset") - context_ms, F.lit(0)).alias("context_onset"), (F.col("segment_offset") + context_ms).alias("context_offset"))
+
+
+#: Tiers of a template: the coded and context spans, what is coded about a span, and a tier for each speaker with dependent ones.
+SPAN_TIERS, NOTE_TIERS, DEPENDENT = ("code", "context"), ("code_num", "on_off", "notes"), ("xds", "vcm", "lex", "mwu")
+
+
+def eaf_document(recording: str, spans: Sequence[tuple[int, int, int, int, int]], speakers: Sequence[str] = ("CHI", "FA1", "MA1"), speech: Sequence[tuple[int, int, str, str]] = ()) -> str:
+    """An ELAN document: (number, code onset, code offset, context onset, context offset) spans, empty tiers for the speakers, and any (onset, offset, speaker, text) to begin with."""
+    import xml.etree.ElementTree as ET
+
+    root = ET.Element("ANNOTATION_DOCUMENT", AUTHOR="", DATE="1970-01-01T00:00:00+00:00", FORMAT="3.0", VERSION="3.0")
+    head = ET.SubElement(root, "HEADER", MEDIA_FILE="", TIME_UNITS="milliseconds")
+    ET.SubElement(head, "MEDIA_DESCRIPTOR", MEDIA_URL=f"file:///{recording}", MIME_TYPE="audio/x-wav")
+    order = ET.SubElement(root, "TIME_ORDER")
+    count = {"slot": 0, "annotation": 0}
+
+    def slot(ms: int) -> str:
+        count["slot"] += 1
+        ET.SubElement(order, "TIME_SLOT", TIME_SLOT_ID=f"ts{count['slot']}", TIME_VALUE=str(int(ms)))
+        return f"ts{count['slot']}"
+
+    def tier(name: str, rows: Sequence[tuple[int, int, str]] = (), parent: str | None = None) -> None:
+        out = ET.SubElement(root, "TIER", TIER_ID=name, LINGUISTIC_TYPE_REF="dependent" if parent else "spans", **({"PARENT_REF": parent} if parent else {}))
+        for on, off, text in rows:
+            count["annotation"] += 1
+            a = ET.SubElement(ET.SubElement(out, "ANNOTATION"), "ALIGNABLE_ANNOTATION", ANNOTATION_ID=f"a{count['annotation']}", TIME_SLOT_REF1=slot(on), TIME_SLOT_REF2=slot(off))
+            ET.SubElement(a, "ANNOTATION_VALUE").text = text
+
+    tier("code", [(on, off, str(n)) for n, on, off, _, _ in spans])
+    tier("context", [(on, off, str(n)) for n, _, _, on, off in spans])
+    tier("code_num", [(on, off, str(n)) for n, on, off, _, _ in spans])
+    tier("on_off", [(on, off, f"{on}_{off}") for _, on, off, _, _ in spans])
+    tier("notes")
+    for who in dict.fromkeys([*speakers, *(s[2] for s in speech)]):
+        tier(who, [(on, off, text) for on, off, name, text in speech if name == who])
+        for kind in DEPENDENT:
+            tier(f"{kind}@{who}", parent=who)
+    ET.SubElement(root, "LINGUISTIC_TYPE", GRAPHIC_REFERENCES="false", LINGUISTIC_TYPE_ID="spans", TIME_ALIGNABLE="true")
+    ET.SubElement(root, "LINGUISTIC_TYPE", GRAPHIC_REFERENCES="false", LINGUISTIC_TYPE_ID="dependent", TIME_ALIGNABLE="false", CONSTRAINTS="Symbolic_Association")
+    ET.SubElement(root, "CONSTRAINT", STEREOTYPE="Symbolic_Association", DESCRIPTION="1-1 association with a parent annotation")
+    ET.indent(root)
+    return '<?xml version="1.0" encoding="UTF-8"?>\n' + ET.tostring(root, encoding="unicode")
+
+
+def eaf_documents(templates: DataFrame, speakers: Sequence[str] = ("CHI", "FA1", "MA1"), speech: DataFrame | None = None) -> DataFrame:
+    """recording_filename and its ELAN document, from the rows of ``eaf_templates``; ``speech`` are segments with speaker_id and transcription to begin with, by the spans that they lie in."""
+    spans = templates.groupBy(REC).agg(F.array_sort(F.collect_list(F.struct("code_num", "code_onset", "code_offset", "context_onset", "context_offset"))).alias("spans"))
+    said = None
+    if speech is not None:
+        inside = speech.join(templates.select(REC, "code_onset", "code_offset"), REC).where("segment_onset < code_offset and code_onset < segment_offset").select(REC, *SEGMENT, "speaker_id", F.coalesce("transcription", F.lit("")).alias("said")).distinct()
+        said = inside.groupBy(REC).agg(F.array_sort(F.collect_list(F.struct(*SEGMENT, "speaker_id", "said"))).alias("speech"))
+    both = spans.withColumn("speech", F.lit(None).cast("array<struct<a bigint, b bigint, c string, d string>>")) if said is None else spans.join(said, REC, "left")
+
+    def task(batches):
+        for batch in batches:
+            rows = lambda x: [tuple(r.values()) for r in x] if x is not None else []
+            texts = [eaf_document(r, rows(a), speakers, rows(b)) for r, a, b in zip(batch[REC], batch["spans"], batch["speech"])]
+            yield batch[[REC]].assign(document=texts)
+
+    return both.mapInPandas(task, f"{REC} string, document string")

@@ -24,6 +24,11 @@ def test_rules(frame):
     assert validate.unknown_columns(df.withColumn("zz", F.lit(1)), schema.CHILDREN) == ["zz"]
 
 
+def test_patterns_match_whole_values(frame):
+    df = frame("_line bigint, a string", (2, "12"), (3, "12\n"), (4, "x12"))
+    assert values(validate.violations(df, (schema.Rule("a", True, regex="[0-9]+"),)), "line") == [(3,), (4,)]
+
+
 def test_index_checks(frame):
     idx = frame(IDX, ("a", "x", 0, 10, "2", None), ("a", "x", 9, 12, "1", None), ("a", "y", 5, 5, "1", None), ("b", "x", 0, 99, "3", None), ("m", "x", 0, 9, "2", "a,b,gone"))
     rec = frame(REC, ("x", "1", "2020-01-01", 50), ("y", "9", "2019-01-01", 50))

@@ -74,3 +74,68 @@ def test_rejected_rows_are_kept(spark, data, frame, tmp_path):
 
 def test_specifications():
     assert load_yaml("a: 1\nb: x\n")["b"] == "x" and load_yaml('{"a": [1]}') == {"a": [1]}
+
+
+def test_recordings_and_templates(spark, data, tmp_path, capsys):
+    import numpy as np
+
+    from earshot.sources.audio import encode
+    from earshot.sources.formats import read
+
+    root = tmp_path / "set"
+    rng = np.random.default_rng(1)
+    loud = np.concatenate([np.zeros(2000), rng.normal(0, 0.3, 2000)])[:, None]
+    (root / "recordings" / "a.wav").write_bytes(encode(loud, 1000))
+    (root / "recordings" / "b.wav").write_bytes(encode(loud * 0.5, 1000))
+    (root / "recordings" / "c.wav").write_bytes(encode(loud, 1000))
+    run(data, "automated-import", "vtc", "vtc_rttm")
+    assert values(data.unindexed_files()) == [("c.wav", "not indexed")]
+    run(data, "compute-durations", "--overwrite")
+    assert values(data.tables()["recordings"], "recording_filename", "duration") == [("a.wav", 4000), ("b.wav", 4000)]
+    run(data, "compare-recordings", "a.wav", "c.wav")
+    assert "0.0" in capsys.readouterr().out
+    run(data, "sample", "energy", tmp_path / "energy", "--length", 500, "--period", 500, "--count", 2, "--threshold", "0.5")
+    found = spark.read.csv(str(tmp_path / "energy"), header=True)
+    assert found.count() == 6 and all(int(r["segment_onset"]) >= 2000 for r in found.collect())
+    (tmp_path / "spans.csv").write_text("recording_filename,segment_onset,segment_offset\na.wav,1000,2000\na.wav,3000,3500\n")
+    run(data, "sample", "custom", tmp_path / "custom", "--table", tmp_path / "spans.csv", "--exclude", tmp_path / "spans.csv")
+    assert spark.read.csv(str(tmp_path / "custom"), header=True).count() == 0
+    run(data, "eaf-builder", tmp_path / "spans.csv", tmp_path / "eaf", "--context", 100)
+    text = (tmp_path / "eaf" / "a.eaf").read_text()
+    assert text.count("<ALIGNABLE_ANNOTATION") == 8 and 'TIER_ID="vcm@FA1"' in text and 'TIME_VALUE="900"' in text
+    from earshot.sources.tables import eaf_document
+
+    (tmp_path / "back.eaf").write_text(eaf_document("a.wav", [(1, 0, 50, 0, 60)], speech=[(5, 20, "FA1", "hello <there>")]))
+    assert values(read(spark, "eaf", str(tmp_path / "back.eaf")), "segment_onset", "segment_offset", "speaker_type", "transcription") == [(5, 20, "FEM", "hello <there>")]
+    (tmp_path / "vet.csv").write_text("recording_filename,range_onset,range_offset\na.wav,2000,4000\n")
+    run(data, "process", "vet", tmp_path / "vetted", "--ranges", tmp_path / "vet.csv")
+    run(data, "process", "channels", tmp_path / "two", "--matrix", "1;0.5")
+    from earshot.sources.audio import read_wav
+
+    assert values(read_wav(spark, str(tmp_path / "vetted" / "a.wav")).selectExpr("aggregate(samples, 0D, (s, x) -> s + abs(x))"))[0][0] == 0
+    assert read_wav(spark, str(tmp_path / "two" / "a.wav")).select("channel").distinct().count() == 2
+    run(data, "rename-recording", "b.wav", "d.wav")
+    assert values(data.segments().where("recording_filename = 'd.wav'"), "segment_onset") == [(100,)] and "d.wav" in (root / "metadata" / "recordings.csv").read_text()
+    with pytest.raises(ValueError):
+        data.rename_recording("gone.wav", "x.wav")
+    run(data, "remove-file", "vtc", "a_0_4000.csv")
+    assert values(data.index(), "recording_filename") == [("d.wav",)] and data.segments().count() == 1
+    assert data.set_of(f"{data.root}/annotations/its/sub/raw/x/y.its") == "its/sub" and data.subsets("vtc") == []
+
+
+def test_file_names_with_spaces_and_signs(spark, data, frame, tmp_path):
+    raw = tmp_path / "set" / "annotations" / "odd" / "raw"
+    raw.mkdir(parents=True)
+    for name in ("a b.rttm", "é+%20.rttm"):
+        (raw / name).write_text("SPEAKER x 1 0.1 0.2 <NA> <NA> FEM <NA> <NA>\n")
+    rows = frame("set string, recording_filename string, range_onset bigint, range_offset bigint, raw_filename string, format string", ("odd", "a.wav", 0, 1000, "a b.rttm", "vtc_rttm"), ("odd", "b.wav", 0, 1000, "é+%20.rttm", "vtc_rttm"))
+    assert data.import_annotations(rows).isEmpty() and values(data.segments(), "recording_filename", "segment_onset") == [("a.wav", 100), ("b.wav", 100)]
+
+
+def test_anonymised_files(data, tmp_path):
+    raw = tmp_path / "set" / "annotations" / "its" / "raw"
+    raw.mkdir(parents=True)
+    (raw / "a.its").write_text('<ITS>\n<Child id="secret" DOB="2020-05-06"/>\n</ITS>')
+    (tmp_path / "r.yml").write_text('{"Child.id": "A1", "Child.DOB": "1000-01-01"}')
+    run(data, "anonymize", "its", "its/anonymous", "--replacements", tmp_path / "r.yml")
+    assert (tmp_path / "set" / "annotations" / "its" / "anonymous" / "raw" / "a.its").read_text() == '<ITS>\n<Child id="A1" DOB="1000-01-01"/>\n</ITS>'

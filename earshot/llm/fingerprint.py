@@ -95,6 +95,6 @@ def fingerprints(docs: DataFrame, k: int = K, size: int = TUPLE, sketches: int =
 
 
 def agreement(a: str, b: str):
-    """The share of places at which two signature columns agree."""
+    """The share of places at which two signature columns agree: from 0 to 1, null where either signature is null (a null or empty text)."""
     pairs = F.zip_with(a, b, lambda x, y: F.when(x == y, 1).otherwise(0))
     return F.aggregate(pairs, F.lit(0), lambda s, x: s + x) / F.size(a)

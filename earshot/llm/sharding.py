@@ -82,7 +82,10 @@ def shard(docs: DataFrame, tree: Mapping = PRODUCTION_TREE, key: str = "doc_id",
 
 
 def balance(placed: DataFrame, tree: Mapping = PRODUCTION_TREE, levels: Sequence[str] = LEVELS) -> DataFrame:
-    """Rows and expected share of each leaf, for a report."""
+    """Rows and expected share of each leaf, for a report: a row for each leaf of positive weight, with 0 rows where none fell.
+
+    Rows with a null level are in no leaf and don't count; other columns are left out; an empty input gives all leaves with 0.
+    """
     below, share = children(tree, len(levels)), []
 
     def walk(path: str, p: float, depth: int) -> None:

@@ -67,3 +67,22 @@ def test_agreement(docs):
     df = fp.fingerprints(docs((1, "the same text of words"), (2, "the same text of words"), (3, "quite another story there")))
     a, b = df.select(F.col("doc_id").alias("i"), F.col("signature").alias("a")), df.select(F.col("doc_id").alias("j"), F.col("signature").alias("b"))
     assert values(a.crossJoin(b).where("i < j"), "i", "j", fp.agreement("a", "b")) == [(1, 2, 1.0), (1, 3, 0.0), (2, 3, 0.0)]
+
+
+def test_numbers_of_occurrences_by_brute_force():
+    """Equal values where k-mer and number of occurrence are equal, in and between texts, and nowhere else."""
+    rng = random.Random(21)
+    seen = {}
+    for _ in range(60):
+        t = "".join(rng.choice("abé") for _ in range(rng.randint(0, 60)))
+        k = 3
+        count, want = {}, []
+        for i in range(max(1, len(t) - k + 1) if t else 0):
+            g = t[i : i + k]
+            want.append((g, count.get(g, 0)))
+            count[g] = count.get(g, 0) + 1
+        got = fp.numbered(t, k).tolist()
+        assert len(got) == len(want)
+        for name, value in zip(want, got):
+            assert seen.setdefault(name, value) == value
+    assert len(set(seen.values())) == len(seen)

@@ -8,6 +8,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 REGISTRY: dict[str, tuple[Callable[..., Column], tuple[str, ...]]] = {}
+#: Features that are functions of a conversation's rows as a pandas frame, with the type of their value.
+IN_PANDAS: dict[str, tuple[Callable[..., object], str]] = {}
+
+
+def register_pandas(name: str, apply: Callable[..., object], kind: str = "double") -> None:
+    """For what no aggregate expresses: ``apply`` gets a conversation's rows in order and the specification's arguments."""
+    if name in REGISTRY or name in IN_PANDAS:
+        raise ValueError(f"there is a feature {name}")
+    IN_PANDAS[name] = apply, kind
 
 
 def register(name: str, build: Callable[..., Column], args: Sequence[str] = ()) -> None:

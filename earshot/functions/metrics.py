@@ -45,7 +45,11 @@ class Rows:
 
 @dataclass(frozen=True)
 class Metric:
-    """``columns``: alternatives, of which the segments must have one; ``empty``: the value for annotated time without segments."""
+    """``columns``: alternatives, of which the segments must have one; ``empty``: the value for annotated time without segments.
+
+    ``apply`` is for what no aggregate expresses: a number from a unit's rows of the set as a pandas frame, and the arguments.
+    Such a metric takes a pass of its own, in which a unit's rows are held by one task; it has no hourly or peak form.
+    """
 
     name: str
     build: Callable[..., Column]
@@ -55,6 +59,7 @@ class Metric:
     hourly: bool = True
     options: Mapping[str, object] = field(default_factory=dict)
     turns: bool = False
+    apply: Callable[..., float | None] | None = None
 
 
 REGISTRY: dict[str, Metric] = {}
@@ -64,6 +69,8 @@ def register(metric: Metric) -> Metric:
     """Add a metric; one with ``hourly`` also gets its ``_ph`` and ``peak_`` variants."""
     if metric.name in REGISTRY:
         raise ValueError(f"there is a metric {metric.name}")
+    if metric.apply is not None and metric.hourly:
+        raise ValueError("a metric in pandas has no hourly form")
     REGISTRY[metric.name] = metric
     return metric
 

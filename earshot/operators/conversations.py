@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from earshot.functions.features import STANDARD, build
+from earshot.functions.features import IN_PANDAS, STANDARD, build
 from earshot.operators.interval import REC, SEGMENT
 
 SPEAKERS = ("CHI", "FEM", "MAL", "OCH")
@@ -48,13 +50,30 @@ def summarise(segments: DataFrame, features: Sequence[Mapping[str, object]] = ST
     if "row_no" not in rows.columns:
         rows = rows.withColumn("row_no", F.row_number().over(Window.partitionBy(*keys).orderBy(*SEGMENT)))
     rows = rows.withColumn("voc_duration", F.col("segment_offset") - F.col("segment_onset"))
-    named = dict(build(f) for f in features)
-    if len(named) != len(features):
+    slow = [f for f in features if f["callable"] in IN_PANDAS]
+    named = dict(build(f) for f in features if f["callable"] not in IN_PANDAS)
+    names = [str(f.get("name") or f["callable"]) for f in features]
+    if len({*names}) != len(features):
         raise ValueError("features of the same name")
     first, last = F.min_by("segment_onset", "row_no"), F.max_by("segment_offset", "row_no")
     grouped = rows.groupBy(*keys, "conv_count").agg(first.alias("conversation_onset"), F.max("segment_offset").alias("conversation_offset"), F.count("speaker_type").alias("voc_count"), last.alias("_last"), *[c.alias(n) for n, c in named.items()])
     gap = F.col("conversation_onset") - F.lag("_last").over(Window.partitionBy(*keys).orderBy("conv_count"))
-    return grouped.withColumn("interval_last_conv", gap).select(*keys, "conv_count", "conversation_onset", "conversation_offset", "voc_count", "interval_last_conv", *named)
+    out = grouped.withColumn("interval_last_conv", gap)
+    for f in slow:
+        out = out.join(_in_pandas(rows, f, [*keys, "conv_count"]), [*keys, "conv_count"], "left")
+    return out.select(*keys, "conv_count", "conversation_onset", "conversation_offset", "voc_count", "interval_last_conv", *names)
+
+
+def _in_pandas(rows: DataFrame, spec: Mapping[str, object], keys: list[str]) -> DataFrame:
+    """``keys`` and the value of a feature that is a function of a conversation's rows."""
+    (apply, kind), name = IN_PANDAS[str(spec["callable"])], str(spec.get("name") or spec["callable"])
+    args = {k: v for k, v in spec.items() if k not in ("callable", "name")}
+
+    def task(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([[*key, apply(part.sort_values("row_no"), **args)]], columns=[*keys, name])
+
+    shape = T.StructType([*(rows.schema[k] for k in keys), T.StructField(name, T._parse_datatype_string(kind))])
+    return rows.groupBy(*keys).applyInPandas(task, shape)
 
 
 def with_metadata(summary: DataFrame, recordings: DataFrame, children: DataFrame | None = None, rec_cols: Sequence[str] = (), child_cols: Sequence[str] = ()) -> DataFrame:

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from earshot.functions.clock import DAY, circular_intersect, format_time, parse_time, time_ms
 from earshot.functions.metrics import Rows, Wanted, resolve
@@ -29,6 +31,18 @@ def turn_flags(segments: DataFrame, keys: Sequence[str], first: Sequence[str] =
     return segments.withColumn(name, F.coalesce(flag, F.lit(False)))
 
 
+def _in_pandas(rows: DataFrame, w: Wanted, keys: Sequence[str]) -> DataFrame:
+    """``keys`` and the value of a metric that is a function of a unit's rows."""
+    apply, args, keys = w.metric.apply, {k: v for k, v in w.args.items() if k in w.metric.args}, list(keys)
+    shape = T.StructType([*(rows.schema[k] for k in keys), T.StructField(w.name, T.DoubleType())])
+
+    def task(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        value = apply(part, **args)
+        return pd.DataFrame([[*key, None if value is None else float(value)]], columns=[*keys, w.name])
+
+    return rows.groupBy(*keys).applyInPandas(task, shape)
+
+
 def periods_of(period_ms: int | None, window: tuple[int, int] | None) -> list[tuple[int, int, int, int]]:
     """(period start, period end, start, stop) of each piece of the periods of a day that lies in the clock window; a last incomplete period is dropped."""
     cuts = [(0, 0)] if period_ms is None else [(i * period_ms, (i + 1) * period_ms % DAY) for i in range(DAY // period_ms)]
@@ -89,9 +103,11 @@ def extract(segments: DataFrame, index: DataFrame, recordings: DataFrame, metric
         return rows.groupBy(*keys).agg(*[build(i, w).alias(w.name) for i, w in enumerate(some)])
 
     out = these.join(annotated, keys, "left")
-    plain = [w for w in asked if w.peak_ms is None]
+    plain = [w for w in asked if w.peak_ms is None and w.metric.apply is None]
     if plain:
         out = out.join(aggregated(cut, plain, keys), keys, "left")
+    for w in (w for w in asked if w.metric.apply is not None):
+        out = out.join(_in_pandas(cut.where(F.col("set") == w.set), w, keys), keys, "left")
     for period in sorted({w.peak_ms for w in asked if w.peak_ms is not None}):
         some = [w for w in asked if w.peak_ms == period]
         bucketed = aggregated(cut.withColumn("_bucket", F.floor(F.col("segment_onset") / period)), some, [*keys, "_bucket"])

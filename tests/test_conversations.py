@@ -24,6 +24,18 @@ def test_summary(clip):  # noqa: F811
     assert len(features.STANDARD) == 11
 
 
+def test_feature_in_pandas(clip):  # noqa: F811
+    features.register_pandas("speakers_in_order", lambda df, joined: joined.join(df["speaker_type"].dropna()), "string")
+    try:
+        rows = conversations.conversation_ids(clip)
+        got = conversations.summarise(rows, [{"callable": "who_initiated", "name": "i"}, {"callable": "speakers_in_order", "name": "all", "joined": "-"}]).orderBy("conv_count").collect()
+        assert [r["all"].split("-")[0] for r in got] == [r["i"] for r in got] and len(got[0]["all"].split("-")) == got[0]["voc_count"]
+        with pytest.raises(ValueError):
+            features.register_pandas("who_initiated", len)
+    finally:
+        features.IN_PANDAS.pop("speakers_in_order")
+
+
 @pytest.mark.parametrize("speakers, kind", [("FEM MAL", "overheard"), ("CHI FEM", "dyadic_FEM"), ("CHI MAL", "dyadic_MAL"), ("CHI OCH", "peer"), ("CHI FEM MAL", "parent"), ("CHI FEM OCH", "triadic_FEM"), ("CHI MAL OCH", "triadic_MAL"), ("CHI FEM MAL OCH", "multiparty"), ("CHI CHI", None)])
 def test_types_of_conversations(frame, speakers, kind):
     rows = [(i, "x", i * 10, i * 10 + 5, s, 1) for i, s in enumerate(speakers.split())]

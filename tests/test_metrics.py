@@ -102,6 +102,18 @@ def test_specification_and_own_metric(tables):
         fm.REGISTRY.pop("longest")
 
 
+def test_metric_in_pandas(tables):
+    with pytest.raises(ValueError, match="hourly"):
+        fm.register(fm.Metric("bad", None, apply=len))
+    fm.register(fm.Metric("rhythm", None, ("speaker",), empty=None, hourly=False, apply=lambda df, speaker: df.loc[df["speaker_type"] == speaker, "duration"].max()))
+    try:
+        specs = [{"callable": "rhythm", "set": "vtc", "speaker": "CHI"}, {"callable": "voc_speaker", "set": "vtc", "speaker": "CHI"}]
+        got, plain = one(extract(*tables, specs)), one(extract(*tables, specs[1:]))
+        assert got["voc_chi"] == plain["voc_chi"] and got["rhythm"] > 0
+    finally:
+        fm.REGISTRY.pop("rhythm")
+
+
 def test_turns_need_partners_in_time(frame):
     df = frame("recording_filename string, segment_onset bigint, segment_offset bigint, speaker_type string", ("x", 0, 100, "CHI"), ("x", 150, 160, "NA"), ("x", 1099, 1200, "FEM"), ("x", 2200, 2300, "CHI"), ("x", 2310, 2400, "CHI"), ("y", 2450, 2500, "FEM"))
     assert [r["segment_onset"] for r in turn_flags(df, ["recording_filename"]).where("is_turn").collect()] == [1099]

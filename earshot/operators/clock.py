@@ -26,7 +26,8 @@ def daily(df: DataFrame, start: Column, stop: Column, begins: Column, cols: tupl
 
 def within_time_range(index: DataFrame, recordings: DataFrame, start: int, stop: int) -> DataFrame:
     """Index rows cut to a daily clock window, with range_onset_time and range_offset_time as HH:MM. Recordings without a readable start time have no rows."""
-    begins = recordings.select(REC, parse_time("start_time").alias("_begins"))
+    # aggregated, so that start times are parsed once a recording and not again for each piece
+    begins = recordings.groupBy(REC).agg(F.min(parse_time("start_time")).alias("_begins"))
     lit = lambda x: F.lit(x).cast("bigint")
     rows = daily(index.join(begins, REC), lit(start), lit(stop), F.col("_begins"))
     clock = lambda c: format_time(F.col(c) + F.col("_begins"))

@@ -67,7 +67,9 @@ def extract(segments: DataFrame, index: DataFrame, recordings: DataFrame, metric
     segments = segments.where(F.col("set").isin(*sets))  # prunes the scan by set
     clocked = period_ms is not None or from_time is not None
     unit = [REC, "unit_onset", "unit_offset"] if by == "segments" else [by]
-    rec = recordings.select(*dict.fromkeys([REC, *([by] if by != "segments" else []), *(["start_time"] if clocked else [])]))
+    about_rec = list(dict.fromkeys([REC, *([by] if by != "segments" else [])]))
+    # start times are parsed once a recording: a projection would be evaluated again for each piece of each range
+    rec = recordings.groupBy(*about_rec).agg(F.min(parse_time("start_time")).alias("_begins")) if clocked else recordings.select(*about_rec)
     base = index.where(F.col("set").isin(*sets)).select("set", REC, *RANGE).join(rec, REC)
     if by == "segments":
         these = units.select(REC, F.col("segment_onset").alias("unit_onset"), F.col("segment_offset").alias("unit_offset")).distinct()
@@ -80,7 +82,7 @@ def extract(segments: DataFrame, index: DataFrame, recordings: DataFrame, metric
         pieces = periods_of(period_ms, (time_ms(from_time), time_ms(to_time)) if from_time else None)
         clock = base.sparkSession.createDataFrame(pieces, "period_on bigint, period_off bigint, _start bigint, _stop bigint")
         grid = base.sparkSession.createDataFrame(periods_of(period_ms, None), "period_on bigint, period_off bigint, a bigint, b bigint").select("period_on", "period_off")
-        base = daily(base.withColumn("_begins", parse_time("start_time")).crossJoin(F.broadcast(clock)), F.col("_start"), F.col("_stop"), F.col("_begins"))
+        base = daily(base.crossJoin(F.broadcast(clock)), F.col("_start"), F.col("_stop"), F.col("_begins"))
         if period_ms is not None:
             keys, these = [*unit, "period_on"], these.crossJoin(F.broadcast(grid))
     base = base.select("set", *dict.fromkeys([REC, *keys]), *RANGE)

@@ -28,25 +28,29 @@ def small_star(edges: DataFrame) -> DataFrame:
     return lesser.union(own).distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether each node has one edge to a node that has none of its own."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("own"), F.lit(0).alias("of")).union(edges.select("v", F.lit(0), F.lit(1)))
+    loose = ends.groupBy("node").agg(F.sum("own").alias("own"), F.max("of").alias("of")).where("own > 1 or own = 1 and of = 1")
+    return loose.agg(F.count("*")).first()[0] == 0
+
+
 def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     """(node, component) for each node of an edge table (u, v), where a component is named by its least node.
 
-    Both steps keep connectivity and are repeated until nothing changes, which takes a number of rounds that grows with the
-    logarithm of the largest component. Each round is written to the shared folder, so a lost executor costs one round at
-    most, and deleted once the next one is. A hub's edges are joined with one row, which adaptive execution can split. Self-loops and repeated edges have no
-    effect, rows with a null are left out, and no edges give no rows. Not to have settled after ``most_rounds`` (a path of some
-    2 to the power of 50 nodes would need as many) raises RuntimeError.
+    Both steps keep connectivity and are repeated until each node has one edge, to the least of its component, which takes a
+    number of rounds that grows with the logarithm of the largest component. Each round is written to the shared folder, so a
+    lost executor costs one round at most, and deleted once the next one is. A hub's edges are joined with one row, which
+    adaptive execution can split. Self-loops and repeated edges have no effect, rows with a null are left out, and no edges
+    give no rows. Not to have settled after ``most_rounds`` (a path of some 2 to the power of 50 nodes would need as many)
+    raises RuntimeError.
     """
-    now = cut(edges.select("u", "v").where("u is not null and v is not null and u != v").distinct())
-    state = None
-    for _ in range(most_rounds):
-        before, now = now, cut(small_star(large_star(now)))
+    now = cut(edges.where("u is not null and v is not null and u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    rounds = 0
+    while not _settled(now):
+        if rounds == most_rounds:
+            raise RuntimeError(f"not settled after {most_rounds} rounds")
+        before, now, rounds = now, cut(small_star(large_star(now))), rounds + 1
         forget(before)
-        after = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if after == state:
-            break
-        state = after
-    else:
-        raise RuntimeError(f"no fixed point after {most_rounds} rounds")
     roots = now.select("v").distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots.select(F.col("v").alias("node"), F.col("v").alias("component")))

@@ -22,23 +22,27 @@ GROUPED = 6
 FAR = 1 << 60
 
 
-def clip(df: DataFrame, start: Column | int | str, stop: Column | int | str, cols: tuple[str, str] = SEGMENT) -> DataFrame:
-    """Clamp both ends to [start, stop] and keep what has a length. A null bound makes a row vanish."""
+def clip(df: DataFrame, start: Column | int | str, stop: Column | int | str, cols: tuple[str, str] = SEGMENT, points: bool = False) -> DataFrame:
+    """Clamp both ends to [start, stop] and keep what has a length, with ``points`` also what had none and lies between the bounds. A null bound makes a row vanish."""
     start, stop = (F.col(x) if isinstance(x, str) else x if isinstance(x, Column) else F.lit(x).cast("bigint") for x in (start, stop))
     on, off = cols
     # greatest and least skip nulls, so nulls are sorted out first
     whole = F.col(on).isNotNull() & F.col(off).isNotNull() & start.isNotNull() & stop.isNotNull()
     clamp = lambda c: F.greatest(F.least(F.col(c), stop), start)
-    return df.where(whole).withColumns({on: clamp(on), off: clamp(off)}).where(F.col(off) > F.col(on))
+    kept = F.col(off) > F.col(on)
+    if points:
+        kept = kept | ((F.col(off) == F.col(on)) & (F.col(on) > start) & (F.col(on) < stop))
+    return df.where(whole).withColumns({on: clamp(on), off: clamp(off)}).where(kept)
 
 
-def range_join(left: DataFrame, right: DataFrame, keys: Sequence[str] = (REC,), left_cols: tuple[str, str] = RANGE, right_cols: tuple[str, str] = RANGE, bucket_ms: int | None = None) -> DataFrame:
+def range_join(left: DataFrame, right: DataFrame, keys: Sequence[str] = (REC,), left_cols: tuple[str, str] = RANGE, right_cols: tuple[str, str] = RANGE, bucket_ms: int | None = None, points: bool = False) -> DataFrame:
     """All pairs with equal ``keys`` that overlap by more than a point, with the overlap in overlap_onset and overlap_offset.
 
     The result has the columns of ``left``, then those of ``right`` but for the keys and its range. Other clashing names raise
     an error. Spark joins on the keys and tests the overlap within the join. Where the keys are few for the rows,
     ``bucket_ms`` also makes the time an equi key: each side is repeated for each bucket that it touches, and a pair is kept
-    in the bucket in which its overlap begins, once.
+    in the bucket in which its overlap begins, once. With ``points`` rows of ``left`` without length take part as well, where they
+    lie inside a range and not at its ends.
     """
     (lo, lf), (ro, rf) = left_cols, right_cols
     keys = list(keys)
@@ -46,10 +50,10 @@ def range_join(left: DataFrame, right: DataFrame, keys: Sequence[str] = (REC,),
         raise ValueError(f"columns of both sides: {sorted(clash)}")
     rest = [c for c in right.columns if c not in (*keys, ro, rf)]
     r = right.select(*keys, *rest, F.col(ro).alias("_r_on"), F.col(rf).alias("_r_off")).where("_r_off > _r_on")
-    l = left.where(F.col(lf) > F.col(lo))  # noqa: E741
+    l = left.where(F.col(lf) >= F.col(lo) if points else F.col(lf) > F.col(lo))  # noqa: E741
     on = keys
     if bucket_ms:
-        spread = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / bucket_ms), F.floor((F.col(b) - 1) / bucket_ms)))
+        spread = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / bucket_ms), F.floor(F.greatest(F.col(b) - 1, F.col(a)) / bucket_ms)))
         l, r, on = l.withColumn("_bucket", spread(lo, lf)), r.withColumn("_bucket", spread("_r_on", "_r_off")), [*keys, "_bucket"]  # noqa: E741
     both = l.join(r, on).where((F.col(lo) < F.col("_r_off")) & (F.col("_r_on") < F.col(lf)))
     out = both.withColumns({"overlap_onset": F.greatest(F.col(lo), F.col("_r_on")), "overlap_offset": F.least(F.col(lf), F.col("_r_off"))})

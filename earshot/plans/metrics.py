@@ -54,9 +54,9 @@ def extract(segments: DataFrame, index: DataFrame, recordings: DataFrame, metric
 
     ``by`` is a column of ``recordings``, or "segments" with ``units`` having recording_filename, segment_onset and
     segment_offset. With ``period_ms`` a unit has one row for each period of the day; from_time and to_time restrict to a
-    daily window. Segments are cut to the ranges left. Metrics are null where nothing is annotated. ``rec_cols`` are null
-    unless unique in the unit; ``child_cols`` need ``children``. Segments meet ranges by set, recording and ``bucket_ms`` of time
-    (None for the whole recording).
+    daily window. Segments are cut to the ranges left; those without length count where they lie inside one. Metrics are null
+    where nothing is annotated. ``rec_cols`` are null unless unique in the unit; ``child_cols`` need ``children``. Segments meet
+    ranges by set, recording and ``bucket_ms`` of time (None for the whole recording).
     """
     if by not in UNITS:
         raise ValueError(f"by is one of {UNITS}")
@@ -89,9 +89,9 @@ def extract(segments: DataFrame, index: DataFrame, recordings: DataFrame, metric
 
     length = F.col("range_offset") - F.col("range_onset")
     annotated = base.groupBy(*keys).agg(*[F.coalesce(F.sum(F.when(F.col("set") == s, length)), F.lit(0)).alias(f"duration_{s}") for s in sets])
-    joined = range_join(segments, base, ["set", REC], SEGMENT, RANGE, bucket_ms) if not {*unit, "period_on"} & {*segments.columns} - {REC} else None
+    joined = range_join(segments, base, ["set", REC], SEGMENT, RANGE, bucket_ms, points=True) if not {*unit, "period_on"} & {*segments.columns} - {REC} else None
     if joined is None:
-        joined = range_join(segments.drop(*[c for c in (*unit, "period_on") if c != REC]), base, ["set", REC], SEGMENT, RANGE, bucket_ms)
+        joined = range_join(segments.drop(*[c for c in (*unit, "period_on") if c != REC]), base, ["set", REC], SEGMENT, RANGE, bucket_ms, points=True)
     cut = joined.withColumns({"segment_onset": F.col("overlap_onset"), "segment_offset": F.col("overlap_offset"), "duration": F.col("overlap_offset") - F.col("overlap_onset")}).drop("overlap_onset", "overlap_offset")
     columns = {*cut.columns}
 

@@ -56,6 +56,19 @@ def test_range_join_against_all_pairs(frame, bucket):
     assert got == sorted((i, j, max(a, c), min(b, d)) for i, r, a, b in one for j, s, c, d in two if r == s and max(a, c) < min(b, d))
 
 
+@pytest.mark.parametrize("bucket", [None, 7, 10])
+def test_range_join_with_points(frame, bucket):
+    left = frame("i int, recording_filename string, range_onset bigint, range_offset bigint", *[(i, "a", i, i) for i in range(0, 45)], (90, "a", 5, 25), (91, "a", 12, 11))
+    right = frame("j int, recording_filename string, range_onset bigint, range_offset bigint", (0, "a", 10, 20), (1, "a", 20, 40))
+    got = values(interval.range_join(left, right, bucket_ms=bucket, points=True), "i", "j", "overlap_onset", "overlap_offset")
+    assert got == sorted([(i, int(i > 20), i, i) for i in range(11, 40) if i != 20] + [(90, 0, 10, 20), (90, 1, 20, 25)])
+
+
+def test_clip_with_points(frame):
+    df = frame("i int, segment_onset bigint, segment_offset bigint", (0, 5, 5), (1, 10, 10), (2, 15, 15), (3, 20, 20), (4, 0, 12), (5, 2, 8), (6, 21, 30))
+    assert values(interval.clip(df, 10, 20, points=True), "i", "segment_onset", "segment_offset") == [(2, 15, 15), (4, 10, 12)]
+
+
 def test_range_join_refuses_clashing_names(frame):
     df = frame("recording_filename string, range_onset bigint, range_offset bigint, x int", ("a", 0, 1, 2))
     with pytest.raises(ValueError, match="x"):

@@ -78,6 +78,23 @@ def test_lists_of_cries(frame):
     assert got["lp_n"] == pytest.approx(3 / 7) and got["lp_dur"] == pytest.approx(300 / 1300)
 
 
+def test_segments_without_length_count(frame):
+    """Inside a range, not at its ends: in counts, means, ratios, turns, periods and windows."""
+    row = lambda n, on, off, who, vcm: (n, "a", "x", on, off, who, vcm, None, None, None)
+    hour = 3_600_000
+    seg = frame(SEG, row(0, 0, 0, "CHI", "C"), row(1, 100, 300, "CHI", "C"), row(2, 400, 400, "FEM", None), row(3, 500, 500, "CHI", "C"), row(4, 600, 700, "CHI", "Y"), row(5, hour + 1000, hour + 1000, "CHI", "N"), row(6, 2 * hour, 2 * hour, "CHI", "N"))
+    idx = frame("set string, recording_filename string, range_onset bigint, range_offset bigint", ("a", "x", 0, 2 * hour))
+    rec = frame("recording_filename string, child_id string, start_time string", ("x", "1", "09:00"))
+    calls = [{"callable": c, "set": "a", "speaker": "CHI"} for c in ("voc_speaker", "avg_voc_dur_speaker", "avg_can_voc_dur_speaker", "non_can_voc_speaker")] + [{"callable": c, "set": "a"} for c in ("lp_n", "cp_n", "simple_CTC")]
+    got = one(extract(seg, idx, rec, calls))
+    assert (got["voc_chi"], got["avg_voc_dur_chi"], got["avg_can_voc_dur_chi"], got["non_can_voc_chi"]) == (4, 75, 100, 1)
+    assert (got["lp_n"], got["cp_n"], got["simple_CTC"]) == (3 / 4, 2 / 3, 2)
+    spec = [{"callable": "voc_speaker", "set": "a", "speaker": "CHI"}]
+    hours = extract(seg, idx, rec, spec, period_ms=hour)
+    assert [one(hours, period_start=f"{h:02}:00:00")["voc_chi"] for h in (9, 10, 11)] == [3, 1, None]
+    assert one(extract(seg, idx, rec, spec, from_time="10:00", to_time="12:00"))["voc_chi"] == 1
+
+
 def test_names_and_refusals(tables):
     assert len([v for m in fm.REGISTRY.values() for v in range(3 if m.hourly else 1)]) == 63
     assert fm.wanted({"callable": "peak_non_can_voc_dur_speaker", "set": "a", "speaker": "CHI"}).name == "peak_non_can_voc_dur_chi"

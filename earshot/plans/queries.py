@@ -210,7 +210,7 @@ def exclude_ranges(t: Tables) -> DataFrame:
 SELECT row_no, set, recording_filename, greatest(segment_onset, range_onset) - range_onset + position AS segment_onset, least(segment_offset, range_offset) - range_onset + position AS segment_offset
 FROM ann JOIN pos USING (set, recording_filename) WHERE segment_onset < range_offset AND range_onset < segment_offset""")
 def collapse_timeline(t: Tables) -> DataFrame:
-    cut = interval.range_join(t.ann, t.idx.select("set", REC, *RANGE, F.col("range_onset").alias("_on"), F.col("range_offset").alias("_off")), ["set", REC], SEGMENT, ("_on", "_off"))
+    cut = interval.range_join(t.ann, t.idx.select("set", REC, *RANGE, F.col("range_onset").alias("_on"), F.col("range_offset").alias("_off")), ["set", REC], SEGMENT, ("_on", "_off"), points=True)
     cut = cut.withColumns({"segment_onset": F.col("overlap_onset"), "segment_offset": F.col("overlap_offset")})
     return interval.collapse(cut, t.idx).select("row_no", "set", REC, *SEGMENT)
 

@@ -60,10 +60,10 @@ def register(name: str, derivation: Callable[..., DataFrame]) -> None:
 
 
 def derive(segments: DataFrame, index: DataFrame, input_set: str, output_set: str, derivation: str | Callable[..., DataFrame], **options) -> tuple[DataFrame, DataFrame]:
-    """Segments and index rows of a new set: the derivation's rows, cut to their ranges. ``segments`` carry their range."""
+    """Segments and index rows of a new set: the derivation's rows, cut to their ranges, with those without length that lie inside one. ``segments`` carry their range."""
     f = DERIVATIONS[derivation] if isinstance(derivation, str) else derivation
     found = f(segments.where(F.col("set") == input_set), **options)
     if missing := {*SEGMENT} - {*found.columns}:
         raise ValueError(f"the derivation lacks {sorted(missing)}")
-    out = clip(found, *RANGE).withColumn("set", F.lit(output_set))
+    out = clip(found, *RANGE, points=True).withColumn("set", F.lit(output_set))
     return out, index.where(F.col("set") == input_set).withColumn("set", F.lit(output_set))

@@ -30,6 +30,18 @@ def test_queries_against_sql(spark, name):
     assert sorted(got.columns) == sorted(want.columns) and rows(got) == rows(want)
 
 
+@pytest.mark.skipif(not SF.exists(), reason="no tables")
+@pytest.mark.parametrize("name", ["collapse_timeline", "derived_set", "lp_cp_n"])
+def test_segments_without_length_against_sql(spark, tmp_path, name):
+    duckdb = pytest.importorskip("duckdb")
+    from verify import rows
+
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT * REPLACE (CASE WHEN event_id % 5 < 2 THEN 0.0 ELSE value END AS value, CASE WHEN event_id % 7 = 0 THEN date_trunc('day', ts) ELSE ts END AS ts) FROM '{SF}/events.parquet') TO '{tmp_path}/events.parquet'")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    assert rows(QUERIES[name](spark, str(tmp_path)).toPandas()) == rows(con.execute(SQLS[name]).df())
+
+
 @pytest.mark.skipif(not SF.exists(), reason="no tables")
 def test_templates_and_whitelist_of_whole_tables(spark):
     from conftest import values

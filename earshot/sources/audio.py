@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import io
+import os
+import uuid
 import wave
 from collections.abc import Iterator
 
@@ -11,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Samples that a task hands on at once, at least; short files share a frame.
+AT_ONCE = 1 << 20
 SIGNAL = "recording_filename string, channel int, rate int, start_sample bigint, samples array<float>"
 
 
@@ -37,10 +41,16 @@ def encode(x: np.ndarray, rate: int) -> bytes:
     return out.getvalue()
 
 
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    name, channel, rate, start, samples = zip(*rows)
+    return pd.DataFrame({"recording_filename": name, "channel": np.array(channel, np.int32), "rate": np.array(rate, np.int32), "start_sample": np.array(start, np.int64), "samples": samples})
+
+
 def read_wav(spark: SparkSession, path: str | list[str], block_ms: int = 60_000) -> DataFrame:
     """A row for each channel and block of each file. Files that can't be read have no rows. A file is held whole by its task, so none may exceed 2 GB."""
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows, held = [], 0
         for batch in batches:
             for name, content in zip(batch["name"], batch["content"]):
                 try:
@@ -50,9 +60,15 @@ def read_wav(spark: SparkSession, path: str | list[str], block_ms: int = 60_000)
                         for start in range(0, w.getnframes(), size):
                             w.setpos(start)
                             x = decode(w.readframes(size), width, channels).astype(np.float32)
-                            yield pd.DataFrame({"recording_filename": name, "channel": np.arange(channels, dtype=np.int32), "rate": np.int32(rate), "start_sample": start, "samples": [x[:, c] for c in range(channels)]})
+                            rows += [(name, c, rate, start, x[:, c]) for c in range(channels)]
+                            held += x.size
+                            if held >= AT_ONCE:
+                                yield _frame(rows)
+                                rows, held = [], 0
                 except (wave.Error, EOFError):
                     continue
+        if rows:
+            yield _frame(rows)
 
     files = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
     return files.mapInPandas(task, SIGNAL)
@@ -77,20 +93,40 @@ def durations(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def write_wav(signal: DataFrame, folder: str) -> DataFrame:
-    """Write each recording of ``signal`` as a file below ``folder``, which all workers mount; gives the paths and sizes."""
+    """Write each recording of ``signal`` as a file below ``folder``, which all workers mount; gives the paths and sizes.
 
-    def task(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        import os
+    Names may have folders. A task reads its blocks sorted by recording and holds those of one recording at a time.
+    """
 
-        rows = rows.sort_values(["channel", "start_sample"])
-        channels = [np.concatenate(list(part["samples"])) for _, part in rows.groupby("channel")]
-        content = encode(np.column_stack(channels).astype(np.float64), int(rows["rate"].iloc[0]))
-        os.makedirs(folder, exist_ok=True)
-        final = os.path.join(folder, str(key[0]))
+    def write(name: str, rate: int, channels: list[list[np.ndarray]]) -> tuple[str, int]:
+        content = encode(np.column_stack([np.concatenate(blocks) for blocks in channels]).astype(np.float64), rate)
+        final = os.path.join(folder, name)
+        os.makedirs(os.path.dirname(final), exist_ok=True)
         # a task may run twice: the file appears whole or not at all
-        with open(f"{final}.{os.getpid()}.part", "wb") as f:
+        part = os.path.join(os.path.dirname(final), f"_{uuid.uuid4().hex}")
+        with open(part, "wb") as f:
             f.write(content)
-        os.replace(f"{final}.{os.getpid()}.part", final)
-        return pd.DataFrame({"path": [final], "bytes": [len(content)]})
+        os.replace(part, final)
+        return final, len(content)
 
-    return signal.groupBy("recording_filename").applyInPandas(task, "path string, bytes bigint")
+    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        nothing = recording = last = object()
+        rate, channels, done = 0, [], []
+        for batch in batches:
+            for name, channel, hz, samples in zip(batch["recording_filename"], batch["channel"], batch["rate"], batch["samples"]):
+                if name != recording:
+                    if recording is not nothing:
+                        done.append(write(str(recording), rate, channels))
+                    recording, last, rate, channels = name, nothing, int(hz), []
+                if channel != last:
+                    last = channel
+                    channels.append([])
+                channels[-1].append(samples)
+            if done:
+                yield pd.DataFrame(done, columns=["path", "bytes"])
+                done = []
+        if recording is not nothing:
+            yield pd.DataFrame([write(str(recording), rate, channels)], columns=["path", "bytes"])
+
+    blocks = signal.select("recording_filename", "channel", "start_sample", "rate", "samples")
+    return blocks.repartition("recording_filename").sortWithinPartitions("recording_filename", "channel", "start_sample").mapInPandas(task, "path string, bytes bigint")

@@ -64,3 +64,15 @@ def test_acoustics_and_clips(spark, frame, wavs, tmp_path):
     written = source.write_wav(cut, str(tmp_path / "clips")).collect()
     assert [r["path"].rsplit("/", 1)[1] for r in written] == ["a_100_900.wav"]
     assert values(source.durations(spark, str(tmp_path / "clips"))) == [("a_100_900.wav", 800)]
+
+
+def test_many_recordings_are_written_and_read(spark, frame, tmp_path):
+    """Names with folders, blocks out of order, recordings of one and two channels; none takes a task or a frame of its own."""
+    rows = [(f"d{i % 3}/r{i}.wav", c, 10, k * 10, [float(np.float32((i + c + k * 10 + j) % 50 / 64)) for j in range(10 if k < 2 else 3)]) for k in (2, 0, 1) for i in range(60) for c in range(1 + i % 2)]
+    signal = frame(source.SIGNAL, *rows)
+    written = source.write_wav(signal, str(tmp_path / "w"))
+    assert sorted(r["path"] for r in written.collect()) == sorted({f"{tmp_path}/w/{r[0]}" for r in rows})
+    assert "FlatMapGroups" not in written._jdf.queryExecution().toString() and not list((tmp_path / "w").glob("*/_*"))
+    back = source.read_wav(spark, f"{tmp_path}/w/*", block_ms=1000)
+    got = {(r["recording_filename"], r["channel"], r["start_sample"]): (r["rate"], r["samples"]) for r in back.collect()}
+    assert len(got) == len(rows) and all(got[n.rpartition("/")[2], c, s][0] == 10 and np.abs(np.array(got[n.rpartition("/")[2], c, s][1]) - x).max() < 1e-4 for n, c, _, s, x in rows)

@@ -31,12 +31,22 @@ def _lines(t: Tables, df: DataFrame, *parts: Column | str) -> str:
     return folder
 
 
-def _documents(t: Tables, head: str, line: Column, tail: str) -> str:
+#: Folders over which the files of a table are spread, each listed by a task of its own.
+FOLDERS = 256
+
+
+def _spread(name: Column) -> Column:
+    """A file's name, below one of FOLDERS folders."""
+    return F.concat(F.lpad(F.hex(F.crc32(name.cast("binary")) % FOLDERS), 2, "0"), F.lit("/"), name)
+
+
+def _documents(t: Tables, fmt: str, head: str, line: Column, tail: str) -> str:
     """A document for each recording, with a line for each of its segments in their order."""
     folder = _folder(t)
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_no", line.alias("line")))), lambda r: r["line"]), "\n")
-    t.seg.groupBy(REC).agg(F.concat(F.lit(head), body, F.lit(tail)).alias("value")).write.partitionBy(REC).text(folder)
-    return f"{folder}/*/*"
+    name = _spread(F.concat(F.col(REC), F.lit("." + formats.EXTENSIONS[fmt])))
+    formats.write_documents(t.seg.groupBy(REC).agg(F.concat(F.lit(head), body, F.lit(tail)).alias("value")).select(name.alias("name"), "value"), folder).count()
+    return f"{folder}/*"
 
 
 def _seconds(c: str) -> Column:
@@ -135,14 +145,14 @@ def reader_w2v2(t: Tables) -> DataFrame:
 def reader_its(t: Tables) -> DataFrame:
     code = formats.mapped(F.col("speaker_type"), {"CHI": "CHN", "FEM": "FAN", "MAL": "MAN", "OCH": "CXN"}, "OLN")
     line = F.concat(F.lit('<Segment spkr="'), code, F.lit('" startTime="PT'), _seconds("segment_onset"), F.lit('S" endTime="PT'), _seconds("segment_offset"), F.lit('S" femaleAdultWordCnt="'), F.col("words").cast("string"), F.lit('" childUttCnt="'), F.col("utterances_count").cast("string"), F.lit('" conversationInfo="|BC|0|0|CIC|NT|'), F.col("lena_conv_turn_type"), F.lit('|FI|"/>'))
-    path = _documents(t, '<ITS><Recording num="1"><Conversation num="1" type="CIC">\n', line, "\n</Conversation></Recording></ITS>")
+    path = _documents(t, "its", '<ITS><Recording num="1"><Conversation num="1" type="CIC">\n', line, "\n</Conversation></Recording></ITS>")
     return formats.read(t.spark, "its", path).select(*SEGMENT, "speaker_type", "words", "utterances_count", "lena_conv_turn_type")
 
 
 @query("SELECT segment_onset, segment_offset, 'CHI' AS speaker_type, (row_no % 2)::VARCHAR AS ling_type FROM seg")
 def reader_textgrid(t: Tables) -> DataFrame:
     line = F.concat(F.lit("intervals [1]:\nxmin = "), _seconds("segment_onset"), F.lit("\nxmax = "), _seconds("segment_offset"), F.lit('\ntext = "'), (F.col("row_no") % 2).cast("string"), F.lit('"'))
-    path = _documents(t, 'File type = "ooTextFile"\nitem []:\nitem [1]:\nclass = "IntervalTier"\nname = "CHI"\n', line, "\n")
+    path = _documents(t, "TextGrid", 'File type = "ooTextFile"\nitem []:\nitem [1]:\nclass = "IntervalTier"\nname = "CHI"\n', line, "\n")
     return formats.read(t.spark, "TextGrid", path).select(*SEGMENT, "speaker_type", "ling_type")
 
 
@@ -153,14 +163,14 @@ def reader_eaf(t: Tables) -> DataFrame:
     mine = F.concat(F.lit('<TIER TIER_ID="FA1"><ANNOTATION><ALIGNABLE_ANNOTATION ANNOTATION_ID="a'), n, F.lit('" TIME_SLOT_REF1="t1_'), n, F.lit('" TIME_SLOT_REF2="t2_'), n, F.lit('"><ANNOTATION_VALUE>w'), n, F.lit("</ANNOTATION_VALUE></ALIGNABLE_ANNOTATION></ANNOTATION></TIER>"))
     whom = F.concat(F.lit('<TIER TIER_ID="xds@FA1"><ANNOTATION><REF_ANNOTATION ANNOTATION_ID="r'), n, F.lit('" ANNOTATION_REF="a'), n, F.lit('"><ANNOTATION_VALUE>T</ANNOTATION_VALUE></REF_ANNOTATION></ANNOTATION></TIER>'))
     line = F.concat(slot(1, "segment_onset"), slot(2, "segment_offset"), mine, F.when(F.col("row_no") % 2 == 0, whom).otherwise(""))
-    path = _documents(t, "<ANNOTATION_DOCUMENT>", line, "</ANNOTATION_DOCUMENT>")
+    path = _documents(t, "eaf", "<ANNOTATION_DOCUMENT>", line, "</ANNOTATION_DOCUMENT>")
     return formats.read(t.spark, "eaf", path).select(*SEGMENT, "speaker_type", "transcription", "addressee")
 
 
 @query("SELECT segment_onset, segment_offset, CASE WHEN row_no % 2 = 0 THEN 'FEM' ELSE 'CHI' END AS speaker_type, 3.0 AS words FROM seg")
 def reader_cha(t: Tables) -> DataFrame:
     line = F.concat(F.when(F.col("row_no") % 2 == 0, "*MOT").otherwise("*CHI"), F.lit(":\tone two (three) &um . \x15"), F.col("segment_onset").cast("string"), F.lit("_"), F.col("segment_offset").cast("string"), F.lit("\x15"))
-    path = _documents(t, "@Begin\n@Participants:\tCHI Target_Child, MOT Mother\n", line, "\n@End")
+    path = _documents(t, "cha", "@Begin\n@Participants:\tCHI Target_Child, MOT Mother\n", line, "\n@End")
     return formats.read(t.spark, "cha", path).select(*SEGMENT, "speaker_type", "words")
 
 
@@ -222,8 +232,8 @@ def audio_clips(t: Tables) -> DataFrame:
 
 def _files(t: Tables) -> str:
     folder = _folder(t).removeprefix("file:")
-    write_wav(_signal(t).withColumn(REC, F.concat(REC, F.lit(".wav"))), folder).count()
-    return folder
+    write_wav(_signal(t).withColumn(REC, _spread(F.concat(REC, F.lit(".wav")))), folder).count()
+    return f"{folder}/*"
 
 
 @query(f"{_SIGNAL} SELECT recording_filename || '.wav' AS recording_filename, channel, i, round(round_even(x::DOUBLE * 32767, 0) / 32768, 5) AS x FROM sig")

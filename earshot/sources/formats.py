@@ -8,10 +8,12 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 import xml.etree.ElementTree as ET
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pandas as pd
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -131,6 +133,34 @@ def _documents(spark: SparkSession, path, parse: Callable[[str], list[tuple]], c
     return files.mapInPandas(task, shape)
 
 
+def write_documents(documents: DataFrame, folder: str) -> DataFrame:
+    """Write each row's ``value`` as the file ``name`` below ``folder``; gives the names and sizes.
+
+    Names may have folders. Listing takes a task a folder, so many files are best spread over several. Tasks write the files
+    themselves: a partition for each file would have the driver move and list them one by one.
+    """
+
+    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, root = pyarrow.fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", folder))
+        made: set[str] = set()
+        for batch in batches:
+            sizes = []
+            for name, value in zip(batch["name"], batch["value"]):
+                final, content = f"{root}/{name}", value.encode()
+                if (parent := final.rpartition("/")[0]) not in made:
+                    fs.create_dir(parent, recursive=True)
+                    made.add(parent)
+                # a task may run twice: the file appears whole or not at all; readers pass over names with an underscore
+                part = f"{parent}/_{uuid.uuid4().hex}"
+                with fs.open_output_stream(part) as f:
+                    f.write(content)
+                fs.move(part, final)
+                sizes.append(len(content))
+            yield pd.DataFrame({"name": batch["name"], "bytes": pd.array(sizes, "int64")})
+
+    return documents.select("name", "value").mapInPandas(task, "name string, bytes bigint")
+
+
 def _seconds(text: str | None) -> float:
     m = re.fullmatch(r"PT?(\d+(?:\.\d+)?)S", text or "")
     return float(m[1]) if m else 0.0

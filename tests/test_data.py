@@ -151,6 +151,29 @@ def test_documents(spark, tmp_path):
     assert values(formats.read(spark, "cha", str(tmp_path / "c.cha")), "segment_onset", "segment_offset", "speaker_type", "words", "addressee") == [(1000, 2500, "FEM", 4.0, "T"), (3000, 3100, "CHI", 1.0, "NA")]
 
 
+def test_documents_are_written_by_tasks(spark, frame, tmp_path):
+    docs = frame("name string, value string", *[(f"{i % 3}/r {i}+ä.cha", f"@Participants:\tCHI Target_Child\n*CHI:\tbé . \x15{i}_{i + 5}\x15\n") for i in range(40)])
+    folder = f"file:{tmp_path}/docs"
+    written = values(formats.write_documents(docs, folder))
+    assert [n for n, _ in written] == sorted(f"{i % 3}/r {i}+ä.cha" for i in range(40)) and all(size == (tmp_path / "docs" / n).stat().st_size for n, size in written)
+    assert len(list((tmp_path / "docs").glob("*/*"))) == 40
+    got = values(formats.read(spark, "cha", f"{folder}/*"), "raw_filename", "segment_onset", "segment_offset", "words")
+    assert got == sorted((f"r {i}+ä.cha", i, i + 5, 1.0) for i in range(40))
+
+
+def test_queries_spread_files_over_few_folders(spark, tmp_path):
+    from pathlib import Path
+
+    from earshot.plans import io_queries
+    from earshot.plans.queries import Tables
+
+    spark.sql("SELECT event_id, timestamp_ntz'2024-01-02' + make_dt_interval(0, 0, 0, event_id) AS ts, event_id % 600 AS user_id, 'click' AS event_type, 2.5D AS value FROM range(1200) t(event_id)").write.parquet(f"{tmp_path}/events.parquet")
+    t = Tables(spark, str(tmp_path))
+    for path, end in ((io_queries._documents(t, "cha", "", F.lit("x"), ""), "cha"), (io_queries._files(t), "wav")):
+        found = list(Path(path.removeprefix("file:").removesuffix("/*")).glob("*/*"))
+        assert {f.name for f in found} == {f"rec{i}.{end}" for i in range(600)} and 1 < len({f.parent for f in found}) <= io_queries.FOLDERS
+
+
 def test_tables_and_sinks(spark, frame, tmp_path):
     meta = tmp_path / "metadata"
     (meta / "recordings").mkdir(parents=True)
